@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-#: Words that a worker remembers; when full it starts afresh, so memory is bounded for any corpus.
-REMEMBERED = 200_000
+#: Words in each of the two generations that a worker remembers. A full young one becomes the old one and
+#: words in use move back from there, so memory is bounded for any corpus and frequent words stay.
+REMEMBERED = 250_000
 
 
 @lru_cache(maxsize=2)
@@ -75,26 +76,28 @@ class Codec:
         self.rank = ranks(path)
         self.pieces = {i: b for b, i in self.rank.items()}
         self.split = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.old: dict[str, tuple[int, str, bytes]] = {}
 
-    def word(self, word: str) -> tuple[int, ...]:
-        ids = self.known.get(word)
-        if ids is None:
+    def word(self, word: str) -> tuple[int, str, bytes]:
+        """Of one word: the number of ids, the ids comma-joined, and the bytes that they decode to."""
+        made = self.old.get(word)
+        if made is None:
             data = word.encode("utf-8")
+            ids = fold(data, self.rank) if len(data) < 256 else fold_long(data, self.rank)
+            made = (len(ids), ",".join(map(str, ids)), self.decode(ids))
+        if len(word) < 256:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            ids = tuple(fold(data, self.rank) if len(data) < 256 else fold_long(data, self.rank))
-            if len(data) < 256:
-                self.known[word] = ids
-        return ids
+                self.known, self.old = {}, self.known
+            self.known[word] = made
+        return made
 
-    def encode(self, text: str) -> list[int]:
+    def words(self, text: str) -> list[tuple[int, str, bytes]]:
         word = self.word
-        known = self.known
-        out: list[int] = []
-        for w in self.split.findall(text):
-            out += known.get(w) or word(w)
-        return out
+        return [self.known.get(w) or word(w) for w in self.split.findall(text)]
+
+    def encode(self, text: str) -> list[int]:
+        return [int(i) for _, ids, _ in self.words(text) for i in ids.split(",")]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -139,9 +142,9 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         c, rows = codec(path, pattern), []
         for t in texts:
-            ids = c.encode(t or "")
-            said = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-            rows.append((len(ids), said, hashlib.sha256(c.decode(ids)).hexdigest()))
+            made = c.words(t or "")
+            said = hashlib.sha256(",".join([m[1] for m in made]).encode()).hexdigest()
+            rows.append((sum(m[0] for m in made), said, hashlib.sha256(b"".join([m[2] for m in made])).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -25,7 +25,6 @@ def occurrences(docs: DataFrame, run: int = 3, min_words: int = 6) -> DataFrame:
     """key, doc_id, row_key, place: every run of `run` sentences with at least min_words words; key is a pair of hashes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("row_key"), F.transform(sentences(text), plain).alias("s"))
-    base = base.where(F.size("s") >= run)
     # one hash pair a sentence, then one a run: a sentence is hashed once however many runs hold it
     marks = F.transform("s", lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + F.when(x == "", 0).otherwise(1)).alias("n")))
     base = base.select("doc_id", "row_key", marks.alias("m"))
@@ -35,7 +34,8 @@ def occurrences(docs: DataFrame, run: int = 3, min_words: int = 6) -> DataFrame:
         words = sum((p["n"] for p in part[1:]), part[0]["n"])
         return F.struct(F.xxhash64(*[p["a"] for p in part]).alias("h1"), F.hash(*[p["b"] for p in part]).alias("h2"), words.alias("n"), i.alias("place"))
 
-    runs = F.filter(F.transform(F.sequence(F.lit(0), F.size("m") - run), window), lambda w: w["n"] >= min_words)
+    places = F.when(F.size("m") >= run, F.sequence(F.lit(0), F.size("m") - run)).otherwise(F.array().cast("array<int>"))
+    runs = F.filter(F.transform(places, window), lambda w: w["n"] >= min_words)
     return base.select("doc_id", "row_key", F.explode(runs).alias("w")).select("w.h1", "w.h2", "doc_id", "row_key", "w.place")
 
 
