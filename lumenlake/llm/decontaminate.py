@@ -50,7 +50,7 @@ def contained(docs: DataFrame, items: DataFrame, share: float = 0.8, n: int = 5)
 
     doc_key is a hash of (doc_id, text), so that rows with one id and different texts stay apart; equal
     rows give one pair. Null or empty texts and items match nothing; items of under n words are one
-    shingle, found in documents that have just those words. Links grow with the true matches only.
+    shingle, found in documents that have just those words. Each candidate document's words are split once.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.xxhash64("doc_id", text).alias("doc_key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -61,11 +61,12 @@ def contained(docs: DataFrame, items: DataFrame, share: float = 0.8, n: int = 5)
     pairs = materialise(hashed.join(sketch, "hash").select("doc_key", "item_key").distinct(), "decon-pairs")
     exact = items.select("item_key", "item_id", shingles(F.col("w"), n).alias("item")).dropDuplicates(["item_key"])
     wanted = pairs.join(exact, "item_key")
-    found = docs.join(pairs.select("doc_key").distinct(), "doc_key", "left_semi").dropDuplicates(["doc_key"])
-    found = found.select("doc_key", "doc_id", shingles(words(F.col("text")), n).alias("own"))
-    both = found.join(wanted, "doc_key")
-    out = both.select("doc_key", "doc_id", "item_id", F.size("item").cast("long").alias("n_shingles"), F.size(F.array_intersect("item", "own")).cast("long").alias("n_shared"))
-    out = out.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    found = docs.join(pairs.select("doc_key").distinct(), "doc_key", "left_semi").select("doc_key", "doc_id", words(F.col("text")).alias("w"))
+    own = found.select("doc_key", "doc_id", shingles(F.col("w"), n).alias("own"))
+    both = own.join(wanted, "doc_key").select(
+        "doc_key", "doc_id", "item_id", F.size("item").cast("long").alias("n_shingles"), F.size(F.array_intersect("item", "own")).cast("long").alias("n_shared")
+    )
+    out = materialise(both.distinct(), "decon-counts").withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
     return out.where(F.col("n_shared") >= F.lit(share) * F.col("n_shingles") - 1e-9)
 
 
