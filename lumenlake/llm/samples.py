@@ -21,5 +21,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound // 2)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *columns)
-    rows = texts.join(F.broadcast(picked), "doc_id").collect()
-    return sorted(rows, key=lambda r: (r["doc_id"], r["text"]))[:bound]
+    one = F.min(F.struct("text", "label", *columns)).alias("row")  # rows that repeat an id count once, so the bound holds
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "row.*").collect()
+    return sorted(rows, key=lambda r: r["doc_id"])
