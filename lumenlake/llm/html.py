@@ -304,9 +304,14 @@ def fit(pages: list[str], epochs: int = 4, rate: float = 0.1, longest: int = 120
 
 
 def train(pages: DataFrame, bound: int = 300, longest_chars: int = 20_000) -> Labeller:
-    """Fit on at most `bound` pages of at most longest_chars characters, chosen by a hash of their url."""
-    rows = pages.where(F.length("html") <= longest_chars).orderBy(F.xxhash64("url", "page_id"), "page_id").select("html").limit(bound).collect()
-    return fit([r["html"] for r in rows])
+    """Fit on at most `bound` pages of at most longest_chars characters, chosen by a hash of their url and id.
+
+    Tasks send the driver hashes only; the chosen pages, one row of each, follow. Repeated rows count once.
+    """
+    own = pages.where(F.length("html") <= longest_chars).select(F.xxhash64("url", "page_id").alias("h"), "html")
+    picked = own.select("h").distinct().orderBy("h").limit(bound)
+    rows = own.join(F.broadcast(picked), "h").groupBy("h").agg(F.min("html").alias("html")).collect()
+    return fit([r["html"] for r in sorted(rows, key=lambda r: r["h"])])
 
 
 def extract(pages: DataFrame, net: Labeller, threshold: float = 0.5) -> DataFrame:
