@@ -14,25 +14,10 @@ from lumenlake.operators import groups as G
 from lumenlake.operators import pairs as P
 from lumenlake.operators import people as H
 from lumenlake.operators import spending as M
-from lumenlake.plans.views import duck, views
+from lumenlake.plans import analysed  # noqa: F401  registers its queries
+from lumenlake.plans.register import ORACLES, QUERIES, query  # noqa: F401
 from lumenlake.sources.scratch import table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(names: str = "", sql: str | None = None, plain: bool = False):
-    """Register f(v, spark, sf_dir), where v(name) is a catalogue view; sql: its DuckDB twin over `names`."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(views(spark, sf_dir), spark, sf_dir)
-        if sql:
-            ORACLES[f.__name__] = sql if plain else duck(names, sql)
-        return f
-
-    return add
-
-
 # --- duplicates ---------------------------------------------------------------------------------------
 
 _COMPONENTS = """
