@@ -14,7 +14,7 @@ from lumenlake.operators import groups as G
 from lumenlake.operators import pairs as P
 from lumenlake.operators import people as H
 from lumenlake.operators import spending as M
-from lumenlake.plans import analysed  # noqa: F401  registers its queries
+from lumenlake.plans import analysed, streams  # noqa: F401  register their queries
 from lumenlake.plans.register import ORACLES, QUERIES, query  # noqa: F401
 from lumenlake.sources.scratch import table
 
