@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.functions.entities import explode_entities, with_entities
+from lumenlake.functions import text as X
+from lumenlake.functions import vectors as V
+from lumenlake.functions.entities import explode_entities, split_words, with_entities
 from lumenlake.functions.receipts import with_receipt
 from lumenlake.operators import albums as A
 from lumenlake.operators import subjects as S
@@ -169,3 +171,54 @@ def normalise_fixes(v, spark, sf_dir):
     second = rows.where("total > 2 and total < 4 and date is not null").select("id", F.lit(2).alias("moment"), F.create_map(F.lit("total"), F.lit(None).cast("string")).alias("sent"))
     fixes, _ = normalise(first.unionByName(second))
     return fixes.select("id", F.col("fix")["shop"].alias("shop"), F.col("fix")["total"].cast("double").alias("total"), F.col("fix")["currency"].alias("currency"))
+
+
+@query(sql="SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[len(embedding)] AS DOUBLE) AS last, len(embedding) AS n FROM embeddings", plain=True)
+def vector_bytes(v, spark, sf_dir):
+    """Vectors to bytes and back."""
+    e = V.decode_vectors(V.encode_vectors(table(spark, sf_dir, "embeddings"), "embedding"), "embedding")
+    return e.select("vec_id", F.col("embedding")[0].cast("double").alias("first"), F.element_at("embedding", -1).cast("double").alias("last"), F.size("embedding").cast("long").alias("n"))
+
+
+_LETTERS = r"list_distinct(regexp_extract_all(coalesce(text, ''), '\p{L}'))"
+
+
+@query(sql=f"SELECT doc_id, len(l) >= 3 AND len(list_filter(l, lambda x: x >= 'ऀ' AND x <= 'ॿ')) >= 0.8 * len(l) AS hindi FROM (SELECT doc_id, {_LETTERS} AS l FROM documents)", plain=True)
+def in_script(v, spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.in_script(F.col("text"), "hindi").alias("hindi"))
+
+
+@query(sql="SELECT doc_id, md5(regexp_replace(replace(text, 'a', '\u093f\u0915'), '\u093f([\u0915-\u0939\\x{0958}-\\x{095F}]\u093c?)', '\\1\u093f', 'g')) AS digest FROM documents", plain=True)
+def logical_order(v, spark, sf_dir):
+    """Every letter a written as a vowel sign before its consonant, and put right."""
+    text = F.replace("text", F.lit("a"), F.lit("\u093f\u0915"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.logical_order(text)).alias("digest"))
+
+
+@query(sql="SELECT o_orderkey, round(CAST(o_totalprice AS DOUBLE) * 88, 2) AS inr FROM orders", plain=True)
+def rupees(v, spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(X.to_inr(F.col("o_totalprice").cast("double")), 2).alias("inr"))
+
+
+@query(sql=r"SELECT item_id, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda w: regexp_matches(w, '[\p{L}\p{N}]'))) AS BIGINT) AS words FROM benchmark", plain=True)
+def split_lines(v, spark, sf_dir):
+    """Words of benchmark items, each character placed by its number."""
+    n = F.greatest(F.length("text"), F.lit(1))
+    where = F.transform(F.sequence(F.lit(1), n), lambda k: k / n)
+    return table(spark, sf_dir, "benchmark").select("item_id", F.size(split_words(F.col("text"), where, 0.001)).cast("long").alias("words"))
+
+
+@query(sql="SELECT vec_id, CASE WHEN vec_id % 7 = 3 THEN 2 ELSE 1 END AS hits FROM embeddings", plain=True)
+def highlights(v, spark, sf_dir):
+    """Words to outline for the search 'the menu with pizza3'."""
+    box = lambda k: F.array(*[F.lit(x / 10) for x in (k, k, 1, 1)])
+    word = lambda text, k: F.struct(text.alias("text"), box(k).alias("box"))
+    words = F.array(word(F.lit("MENU:"), 1), word(F.concat(F.lit("Pizza-"), (F.col("vec_id") % 7).cast("string")), 2), word(F.lit("me"), 3))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(X.highlights(words, F.lit("the menu with pizza3"))).alias("hits"))
+
+
+@query()
+def pictured_words(v, spark, sf_dir):
+    """Benchmark items as word boxes of eight a line, put back into text by line."""
+    words = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("text"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.1), F.lit(0.1)).alias("box"), F.floor(i / 8).cast("int").alias("line")))
+    return table(spark, sf_dir, "benchmark").select("item_id", X.text_of(words, by_line=True).alias("text"))

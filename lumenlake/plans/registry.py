@@ -616,3 +616,10 @@ def bursts(v, spark, sf_dir):
     """By time alone: every shot has the same vector."""
     shots = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_id").cast("string").alias("sha256"), F.col("ts").alias("taken"), F.array(F.lit(1.0)).alias("vector"))
     return B.bursts(shots, 30)
+
+
+@query()
+def meme_groups(v, spark, sf_dir):
+    """Every hashed photo as a meme, its pHash for the core hash."""
+    photos = hashed_photos(spark, sf_dir).withColumn("core_hash", F.col("phash"))
+    return G.meme_groups(photos, photos.select("id"))
