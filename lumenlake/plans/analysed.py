@@ -41,7 +41,8 @@ def read_receipts(v, spark, sf_dir):
     item = F.concat("item", F.lit("   "), F.format_string("%.2f", "item_amount"))
     total = F.concat(F.lit("TOTAL "), "currency", F.lit(" "), F.format_string("%.2f", "total"))
     text = F.concat_ws("\n", shop, F.concat(F.lit("Date: "), day), item, F.when(F.col("total").isNotNull(), total))
-    read = with_receipt(rows.select("id", text.alias("text")), "text")
+    # reading costs far more than moving the rows, so they are spread first
+    read = with_receipt(rows.select("id", text.alias("text")).repartition("id"), "text")
     one = F.try_element_at(F.col("receipt.items"), F.lit(1))
     return read.select("id", "receipt.shop", "receipt.date", "receipt.total", "receipt.currency", one["name"].alias("item"), one["amount"].alias("item_amount"))
 
