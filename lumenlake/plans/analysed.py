@@ -218,7 +218,11 @@ def highlights(v, spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size(X.highlights(words, F.lit("the menu with pizza3"))).alias("hits"))
 
 
-@query()
+@query(
+    sql="""WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)
+    SELECT item_id, array_to_string(list_transform(range(CAST(ceil(len(w) / 8.0) AS BIGINT)), lambda k: array_to_string(w[k * 8 + 1:k * 8 + 8], ' ')), chr(10)) AS text FROM w""",
+    plain=True,
+)
 def pictured_words(v, spark, sf_dir):
     """Benchmark items as word boxes of eight a line, put back into text by line."""
     words = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("text"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.1), F.lit(0.1)).alias("box"), F.floor(i / 8).cast("int").alias("line")))
