@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import bpe, decontaminate, html, quality, secrets, sharding, simhash, spans, toxicity, urlrules
+from lumenlake.llm import bpe, decontaminate, html, passages, quality, secrets, sharding, simhash, spans, toxicity, urlrules
 from lumenlake.sources.scratch import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -34,6 +34,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job of op3: the SQL of op3_substring_dedup fixes its pieces, and so what it cannot see."""
+    return passages.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = sharding.shard(table(spark, sf_dir, "documents"), 24)
     return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -75,6 +80,7 @@ QUERIES = {
         op1_simhash,
         op2_toxicity,
         op3_substring_dedup,
+        op3_passage_dedup,
         op4_sharding,
         op5_quality,
         op6_secrets,
