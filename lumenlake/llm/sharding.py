@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -30,11 +30,30 @@ def cuts_within(capacity: int, ends: list[int], shards: int) -> list[int] | None
     return None
 
 
-def minimax_cuts(sizes: list[int], shards: int) -> tuple[int, list[int]]:
-    """Smallest feasible capacity of `shards` runs over ordered sizes (binary search), and its cuts."""
-    ends = list(accumulate(sizes))
-    if not ends:
-        return 0, []
+def level_cuts(capacity: int, ends: list[int], shards: int) -> list[int]:
+    """Cuts within a feasible capacity: each shard aims at the bytes left divided by the shards left.
+
+    No shard is empty while there are groups for it.
+    """
+    shards = min(shards, len(ends))
+    latest, lowest = len(ends), [len(ends)]  # lowest[k]: first group from which k shards hold all the rest
+    for _ in range(shards):
+        latest = bisect_left(ends, ends[latest - 1] - capacity) + 1 if latest and ends[latest - 1] > capacity else 0
+        lowest.append(latest)
+    cuts, start, at = [], 0, 0
+    for left in range(shards - 1, 0, -1):
+        low = max(lowest[left], at + 1)
+        high = min(bisect_right(ends, start + capacity), len(ends) - left)
+        aim = start + (ends[-1] - start) / (left + 1)
+        at = min(max(bisect_left(ends, aim) + 1, low), high)
+        if at > low and aim - ends[at - 2] < ends[at - 1] - aim:
+            at -= 1
+        start = ends[at - 1]
+        cuts.append(at)
+    return cuts
+
+
+def smallest_capacity(sizes: list[int], ends: list[int], shards: int) -> int:
     low, high = max(max(sizes), -(-ends[-1] // shards)), ends[-1]
     while low < high:
         mid = (low + high) // 2
@@ -42,7 +61,33 @@ def minimax_cuts(sizes: list[int], shards: int) -> tuple[int, list[int]]:
             low = mid + 1
         else:
             high = mid
-    return low, cuts_within(low, ends, shards) or []
+    return low
+
+
+def level(sizes: list[int], shards: int) -> list[int]:
+    """Cuts that give a group above the mean a shard of its own, both its sides their part of the others."""
+    shards, ends = min(shards, len(sizes)), list(accumulate(sizes))
+    top = max(range(len(sizes)), key=sizes.__getitem__)
+    left, right = sizes[:top], sizes[top + 1 :]
+    others = shards - 1
+    if shards < 2 or sizes[top] * shards <= ends[-1] or others < bool(left) + bool(right):
+        return level_cuts(smallest_capacity(sizes, ends, shards), ends, shards)
+    part = round(others * sum(left) / max(1, ends[-1] - sizes[top]))
+    part = min(max(part, bool(left), others - len(right)), len(left), others - bool(right))
+    cuts = [*level(left, part), top] if left else []
+    return cuts + ([top + 1, *(top + 1 + c for c in level(right, others - part))] if right else [])
+
+
+def minimax_cuts(sizes: list[int], shards: int) -> tuple[int, list[int]]:
+    """Smallest feasible capacity of `shards` runs over ordered sizes (binary search), and level cuts within it."""
+    ends = list(accumulate(sizes))
+    if not ends:
+        return 0, []
+    capacity, cuts = smallest_capacity(sizes, ends, shards), level(sizes, shards)
+    bounds = [0, *(ends[c - 1] for c in cuts), ends[-1]]
+    if max(b - a for a, b in zip(bounds, bounds[1:])) > capacity:
+        cuts = level_cuts(capacity, ends, shards)
+    return capacity, cuts
 
 
 def shard(docs: DataFrame, shards: int = 24, group_bits: int = 16, rows_a_cell: int = 1000) -> DataFrame:
