@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm.samples import labelled_sample
 
-WORD_BITS, CHAR_BITS = 15, 16
-SIZE = (1 << WORD_BITS) + (1 << CHAR_BITS)
+WORD_BITS, CHAR_BITS, PAIR_BITS = 15, 16, 16
+SIZE = (1 << WORD_BITS) + (1 << CHAR_BITS) + (1 << PAIR_BITS)
 #: Characters that count as symbols (fixed values of the base rules).
 SYMBOLS = "#*$%&|<>"
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -44,22 +44,28 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def char_slots(data: np.ndarray) -> np.ndarray:
-    """Slots of the byte 3-grams that start at each byte (the last two are not windows)."""
-    d = data.astype(np.uint32)
-    h = d[:-2] * np.uint32(0x9E3779B1) ^ d[1:-1] * np.uint32(0x85EBCA77) ^ d[2:] * np.uint32(0xC2B2AE3D)
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def char_slots(points: np.ndarray) -> np.ndarray:
+    """Slots of the character 3-grams that start at each code point (the last two are not windows)."""
+    h = points[:-2] * np.uint32(0x9E3779B1) ^ points[1:-1] * np.uint32(0x85EBCA77) ^ points[2:] * np.uint32(0xC2B2AE3D)
     return (h >> np.uint32(32 - CHAR_BITS)) + np.uint32(1 << WORD_BITS)
 
 
-def word_slots(words: list[bytes]) -> np.ndarray:
-    return np.array([crc32(w) for w in words], dtype=np.uint32) & np.uint32((1 << WORD_BITS) - 1)
+def word_slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the single words, and of the pairs of neighbours in their order."""
+    h = np.fromiter(map(crc32, words), np.uint32, len(words))
+    pairs = (h[:-1] * np.uint32(0x9E3779B1) ^ h[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)
+    return h & np.uint32((1 << WORD_BITS) - 1), (pairs >> np.uint32(32 - PAIR_BITS)) + np.uint32((1 << WORD_BITS) + (1 << CHAR_BITS))
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and mean frequencies of word 1-grams and byte 3-grams."""
-    data = text.encode("utf-8", "surrogatepass")
+    """Slots and mean frequencies of word 1-grams and 2-grams and of character 3-grams."""
+    points = code_points(text)
     out = []
-    for slots in (word_slots(data.split()), char_slots(np.frombuffer(data, dtype=np.uint8)) if len(data) > 2 else np.empty(0, np.uint32)):
+    for slots in (*word_slots(text.encode("utf-8", "surrogatepass").split()), char_slots(points) if len(points) > 2 else np.empty(0, np.uint32)):
         ids, n = np.unique(slots, return_counts=True)
         out.append((ids, n / max(1, len(slots))))
     return np.concatenate([o[0] for o in out]).astype(np.int64), np.concatenate([o[1] for o in out])
@@ -107,18 +113,19 @@ def platt(s: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]
     return (float(c[0]), float(c[1])) if c[0] > 0 else (1.0, 0.0)
 
 
-def score(model: dict | None, text_bytes: bytes, words: list[bytes]) -> float:
+def score(model: dict | None, text: str, words: list[bytes]) -> float:
     """Calibrated probability of good quality; 1 without a model, so that nothing is thrown away unlearnt."""
     if model is None:
         return 1.0
     w, s = model["w"], model["bias"]
-    if words:
-        s += float(w[word_slots(words)].mean(dtype=np.float64))
-    if len(text_bytes) > 2:
-        data, total = np.frombuffer(text_bytes, dtype=np.uint8), 0.0
-        for at in range(0, len(data) - 2, 1 << 20):
-            total += float(w[char_slots(data[at : at + (1 << 20) + 2])].sum(dtype=np.float64))
-        s += total / (len(data) - 2)
+    for slots in word_slots(words):
+        if len(slots):
+            s += float(w[slots].mean(dtype=np.float64))
+    if len(text) > 2:
+        points, total = code_points(text), 0.0
+        for at in range(0, len(points) - 2, 1 << 20):
+            total += float(w[char_slots(points[at : at + (1 << 20) + 2])].sum(dtype=np.float64))
+        s += total / (len(points) - 2)
     a, b = model["scale"]
     return float(1 / (1 + np.exp(-np.clip(a * s + b, -30, 30))))
 
@@ -145,11 +152,10 @@ def judge(docs: DataFrame, model: dict | None, threshold: float = 0.5, min_words
         out = []
         for t in parts:
             t = t or ""
-            data = t.encode("utf-8", "surrogatepass")
-            words = data.split()
+            words = t.encode("utf-8", "surrogatepass").split()
             n = base_counts(t, words)
             failed = n[0] < min_words or 100 * n[4] > max_repeat * n[0]
-            p = score(sent.value, data, words)
+            p = score(sent.value, t, words)
             out.append((*n, failed, p, bool(not failed and p >= threshold)))
         return pd.DataFrame(out, columns=made)
 
