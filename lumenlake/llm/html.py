@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 # Element names by their role in HTML, and words of class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg math iframe object canvas".split())
+RAW = frozenset("script style noscript template textarea svg annotation annotation-xml iframe object canvas".split())
+TO_THE_END = frozenset(["script", "style"])  # without a closing tag, the rest of the page belongs to them
 BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
@@ -61,6 +62,7 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
+    unclosed: set[str] = set()
     linked = 0
 
     def flush() -> None:
@@ -97,8 +99,15 @@ def blocks(page: str | None) -> list[Block]:
             parts.append(" ")
             continue
         if name in RAW:
+            if name in unclosed or (name == "svg" and m["rest"].endswith("/")):
+                continue
             end = re.compile(rf"</{name}\s*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if end:
+                at = end.end()
+            elif name in TO_THE_END:
+                at = len(page)
+            else:
+                unclosed.add(name)
             continue
         if name in BLOCK:
             flush()
