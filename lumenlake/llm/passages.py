@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import cache
 from hashlib import blake2b
 
 import numpy as np
@@ -13,16 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenlake.llm.spans import SENTENCE
+from lumenlake.llm.spans import UNSPACED, WORD, mix, powers, sliding
 from lumenlake.sources.scratch import materialise
 
 #: Words of a span, words of a shingle, and shingles in a span.
 SPAN, SHINGLE = 50, 20
 REACH = SPAN - SHINGLE + 1
-#: Scripts written without spaces: each of their characters is a word.
-UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
-WORD = re.compile(rf"[{UNSPACED}]|[^\x09-\x0D {UNSPACED}]+")
-PIECE = re.compile(SENTENCE)
+#: A sentence of the runs: up to 16 words, the marks that close it and the white space after it.
+PIECE = re.compile(r"(?:[^\x09-\x0D .!?]+[ \t]*){1,16}[.!?]*[\x09-\x0D ]*|[.!?]+[\x09-\x0D ]*|[\x09-\x0D ]+")
 BLANKS = re.compile(r"[\x09-\x0D ]+")
 MARK = "h1 long, h2 long, doc_id long, row_key long, lo int, hi int"
 
@@ -37,17 +34,6 @@ class Hashes(dict):
         return value
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-@cache
-def powers(base: int, bits: int) -> np.ndarray:
-    return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full((1 << bits) - 1, base, np.uint64))))
-
-
 def rolling(h: np.ndarray, n: int, base: int) -> np.ndarray:
     """A hash of each n neighbours of h."""
     bits = len(h).bit_length()
@@ -56,14 +42,6 @@ def rolling(h: np.ndarray, n: int, base: int) -> np.ndarray:
     return mix((sums[n:] - sums[:-n]) * down[: len(h) - n + 1])
 
 
-def sliding(op: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
-    """op over each n neighbours of x."""
-    size, k = len(x), 1
-    while 2 * k <= n:
-        x, k = op(x[:-k], x[k:]), 2 * k
-    return op(x[: size - n + 1], x[n - k :])
-
-
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the shingles that are the smallest of some span (winnowing).
 

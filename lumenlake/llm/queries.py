@@ -91,28 +91,41 @@ QUERIES = {
     )
 }
 
-_PIECE = r"(?:[^\x09-\x0D .!?]+[ \t]*){1,16}[.!?]*[\x09-\x0D ]*|[.!?]+[\x09-\x0D ]*|[\x09-\x0D ]+"
+_WORD = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]|[^\x09-\x0D \x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]+"
 
 ORACLES = {
     "op3_substring_dedup": rf"""
-        WITH pieces AS (
-            SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{_PIECE}') AS p FROM documents
-        ), plain AS (
-            SELECT *, list_transform(p, lambda x: trim(regexp_replace(lower(x), '[\x09-\x0D ]+', ' ', 'g'))) AS q FROM pieces
-        ), runs AS (
-            SELECT DISTINCT doc_id, text, i - 1 AS place, q[i:i + 2] AS run
-            FROM (SELECT *, unnest(range(1, len(q) - 1)) AS i FROM plain WHERE len(q) >= 3)
-            WHERE list_sum(list_transform(q[i:i + 2], lambda x: CASE WHEN x = '' THEN 0 ELSE len(x) - len(replace(x, ' ', '')) + 1 END)) >= 6
+        WITH split AS (
+            SELECT doc_id, text, regexp_extract_all(text, '(?:{_WORD})[\x09-\x0D ]*') AS tokens FROM documents
+        ), words AS (
+            SELECT doc_id, i, CASE WHEN i = 1 THEN regexp_extract(text, '^[\x09-\x0D ]*') ELSE '' END || tokens[i] AS token,
+                lower(regexp_replace(tokens[i], '[\x09-\x0D ]+$', '')) AS word, len(tokens) AS n
+            FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM split)
         ), ranked AS (
-            SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, place) AS n FROM runs
+            SELECT *, CASE WHEN regexp_matches(word, '[.!?。！？]["'')\]”’»]*$') THEN '' ELSE md5(word)[1:15] END AS h FROM words
+        ), least_of AS (
+            SELECT *, CASE WHEN i + 9 <= n THEN min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) END AS m FROM ranked
+        ), closing AS (
+            SELECT *, h = '' OR i = n OR coalesce(h = max(m) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), false) AS closes FROM least_of
+        ), numbered AS (
+            SELECT *, coalesce(sum(closes::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS k FROM closing
+        ), sentences AS (
+            SELECT doc_id, k, min(i) AS lo, max(i) AS hi, string_agg(token, '' ORDER BY i) AS whole FROM numbered GROUP BY doc_id, k
+        ), lists AS (
+            SELECT doc_id, list(word ORDER BY i) AS ws FROM numbered GROUP BY doc_id
+        ), ends AS (
+            SELECT p.doc_id, p.k, min(q.k) AS last, p.lo, min(q.hi) AS hi
+            FROM sentences p JOIN sentences q ON p.doc_id = q.doc_id AND q.k BETWEEN p.k + 1 AND p.k + 11 AND q.hi - p.lo + 1 >= 12 GROUP BY ALL
+        ), runs AS (
+            SELECT doc_id, k, last, row_number() OVER (PARTITION BY ws[lo:hi] ORDER BY doc_id, k) AS place FROM ends JOIN lists USING (doc_id)
         ), covered AS (
-            SELECT doc_id, text, list(DISTINCT c) AS cs FROM (SELECT doc_id, text, unnest([place, place + 1, place + 2]) AS c FROM ranked WHERE n > 1) GROUP BY doc_id, text
+            SELECT DISTINCT doc_id, unnest(range(k, last + 1)) AS k FROM runs WHERE place > 1
+        ), made AS (
+            SELECT s.doc_id, count(*) AS n_sentences, count(c.k) AS n_removed, string_agg(CASE WHEN c.k IS NULL THEN whole ELSE '' END, '' ORDER BY s.k) AS text
+            FROM sentences s LEFT JOIN covered c ON s.doc_id = c.doc_id AND s.k = c.k GROUP BY s.doc_id
         )
-        SELECT s.doc_id,
-            CASE WHEN c.cs IS NULL THEN s.text ELSE array_to_string(list_filter(s.p, lambda x, i: NOT list_contains(c.cs, i - 1)), '') END AS text,
-            CAST(len(s.p) AS BIGINT) AS n_sentences,
-            CAST(coalesce(len(c.cs), 0) AS BIGINT) AS n_removed
-        FROM pieces s LEFT JOIN covered c ON s.doc_id = c.doc_id AND s.text = c.text
+        SELECT d.doc_id, CASE WHEN m.n_removed > 0 THEN m.text ELSE d.text END AS text, coalesce(m.n_sentences, 0) AS n_sentences, coalesce(m.n_removed, 0) AS n_removed
+        FROM documents d LEFT JOIN made m USING (doc_id)
     """,
     "op8_decontamination": r"""
         WITH d AS (

@@ -1,71 +1,201 @@
-"""Substring deduplication by sliding runs of sentences."""
+"""Substring deduplication by sliding runs of sentences.
+
+A sentence ends with a word that closes it (. ! ? and their like). A long one goes on in further sentences:
+of each WINDOW neighbouring words without a closing one, the word with the smallest hash closes a sentence
+too. Where a text is cut so follows from the words around the cut alone, never from a count from the start,
+so a passage is cut alike wherever it stands, and every span of 50 words holds a whole run.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterable, Iterator
+from functools import cache
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlake.llm.names import fresh, quoted
 from lumenlake.sources.scratch import materialise
 
-#: A sentence: up to 16 words, the marks that close it and the white space after it. Longer sentences go on
-#: in further pieces, so every long passage has several. The pieces of a text joined are the text.
-SENTENCE = r"(?:[^\x09-\x0D .!?]+[ \t]*){1,16}[.!?]*[\x09-\x0D ]*|[.!?]+[\x09-\x0D ]*|[\x09-\x0D ]+"
-
-
-def sentences(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(SENTENCE), 0)
-
-
-def plain(sentence: Column) -> Column:
-    """What is compared: lower case, single spaces, none around."""
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[\x09-\x0D ]+", " "))
-
-
-def occurrences(docs: DataFrame, run: int = 3, min_words: int = 6) -> DataFrame:
-    """key, doc_id, row_key, place: every run of `run` sentences with at least min_words words; key is a pair of hashes."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("row_key"), F.transform(sentences(text), plain).alias("s"))
-    # one hash pair a sentence, then one a run: a sentence is hashed once however many runs hold it
-    marks = F.transform("s", lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + F.when(x == "", 0).otherwise(1)).alias("n")))
-    base = base.select("doc_id", "row_key", marks.alias("m"))
-
-    def window(i: Column) -> Column:
-        part = [F.get("m", i + k) for k in range(run)]
-        words = sum((p["n"] for p in part[1:]), part[0]["n"])
-        return F.struct(F.xxhash64(*[p["a"] for p in part]).alias("h1"), F.hash(*[p["b"] for p in part]).alias("h2"), words.alias("n"), i.alias("place"))
-
-    places = F.when(F.size("m") >= run, F.sequence(F.lit(0), F.size("m") - run)).otherwise(F.array().cast("array<int>"))
-    runs = F.filter(F.transform(places, window), lambda w: w["n"] >= min_words)
-    return base.select("doc_id", "row_key", F.explode(runs).alias("w")).select("w.h1", "w.h2", "doc_id", "row_key", "w.place")
-
-
-def repeated_spans(docs: DataFrame, run: int = 3, min_words: int = 6) -> DataFrame:
-    """doc_id, row_key, covered: places of the sentences that a non-first repeated run covers.
-
-    A run's first place is the smallest (doc_id, row_key, place) of the whole table; every other place
-    of that run is a repeat, in the same document too. Rows with equal doc_id and text are one document.
+#: Words among which one closes a sentence, and the least sentences and words of a run.
+WINDOW, RUN, LEAST = 10, 2, 12
+#: Scripts written without spaces: each of their characters is a word.
+UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{UNSPACED}]|[^\x09-\x0D {UNSPACED}]+")
+DENSE = re.compile(rf"[{UNSPACED}]")
+CLOSING = re.compile(r"""[.!?。！？]["')\]”’»]*$""")
+MARKS = "h1 long, h2 int, doc_id long, row_key long, lo int, hi int"
+SCHEMA = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+BASE, OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+
+
+class Hashes(dict):
+    """UTF-8 word -> 60 bits of the MD5 of its lower case, then whether it closes a sentence; kept up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        low = word.decode("utf-8", "surrogatepass").lower()
+        value = int(md5(low.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16) << 4 | bool(CLOSING.search(low))
+        self[word] = value
+        return value
+
+
+@cache
+def remembered() -> Hashes:
+    """The hashes that a worker keeps from batch to batch."""
+    return Hashes()
+
+
+def words_of(text: str) -> list[bytes]:
+    if DENSE.search(text):
+        return [w.encode("utf-8", "surrogatepass") for w in WORD.findall(text)]
+    return text.encode("utf-8", "surrogatepass").split()  # bytes: ASCII white space only
+
+
+def hashes_of(words: list[bytes], known: Hashes) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def sliding(op: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
+    """op over each n neighbours of x."""
+    size, k = len(x), 1
+    while 2 * k <= n:
+        x, k = op(x[:-k], x[k:]), 2 * k
+    return op(x[: size - n + 1], x[n - k :])
+
+
+def bounds(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """First word of each sentence, then the number of words; of no words just 0."""
+    if not len(h):
+        return np.zeros(1, np.int64)
+    rank = np.where(h & np.uint64(1), np.uint64(0), h)  # a closing word is the smallest of any window
+    closes = rank == 0
+    if len(h) >= window:
+        edge = np.zeros(window - 1, np.uint64)
+        closes |= rank == sliding(np.maximum, np.concatenate((edge, sliding(np.minimum, rank, window), edge)), window)
+    closes[-1] = True
+    return np.concatenate((np.zeros(1, np.int64), np.flatnonzero(closes) + 1))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+@cache
+def powers(base: int, bits: int) -> np.ndarray:
+    return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full((1 << bits) - 1, base, np.uint64))))
+
+
+def between(h: np.ndarray, first: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """A hash of the words first..end of h, for many spans at once, from running sums."""
+    bits = len(h).bit_length()
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers(base, bits)[: len(h)])))
+    return mix((sums[end] - sums[first]) * powers(pow(base, -1, 1 << 64), bits)[first] + (end - first).astype(np.uint64) * np.uint64(OTHER))
+
+
+def runs(h: np.ndarray, run: int, least: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, end sentence, first word, end word: from every sentence `run` of them, more until they hold `least` words."""
+    b = bounds(h, window)
+    lo = np.arange(len(b) - 1)
+    hi = np.maximum(lo + run, np.searchsorted(b, b[:-1] + least))
+    held = hi < len(b)
+    lo, hi = lo[held], hi[held]
+    return lo, hi, b[lo], b[hi]
+
+
+def marks(batches: Iterable[pa.RecordBatch], run: int, least: int, window: int, keys_only: bool) -> Iterator[pa.RecordBatch]:
+    """doc_id, row_key, text to a row for each run; of keys_only h1 alone."""
+    known = remembered()
+    for batch in batches:
+        parts = []
+        for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            h = hashes_of(words_of(text), known)
+            lo, hi, first, end = runs(h, run, least, window)
+            if len(lo):
+                h1 = between(h, first, end, BASE)
+                parts.append((doc_id, key, h1, None if keys_only else between(mix(h ^ np.uint64(OTHER)), first, end, BASE), lo, hi))
+        if not parts:
+            continue
+        h1 = pa.array(np.concatenate([p[2] for p in parts]).view(np.int64))
+        if keys_only:
+            yield pa.RecordBatch.from_arrays([h1], names=["h1"])
+            continue
+        n = [len(p[2]) for p in parts]
+        ids = pa.array([p[0] for p in parts], pa.int64()).take(pa.array(np.repeat(np.arange(len(parts)), n)))
+        h2 = pa.array((np.concatenate([p[3] for p in parts]) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        place = [pa.array(np.concatenate([p[k] for p in parts]).astype(np.int32)) for k in (4, 5)]
+        yield pa.RecordBatch.from_arrays([h1, h2, ids, pa.array(np.repeat(np.array([p[1] for p in parts], np.int64), n)), *place], schema=SCHEMA)
+
+
+def occurrences(docs: DataFrame, run: int = RUN, least: int = LEAST, window: int = WINDOW, keys_only: bool = False) -> DataFrame:
+    """h1, h2 (96 bits of a run's words), doc_id, row_key, lo, hi (its sentences): every run of the texts of docs (doc_id, row_key, text)."""
+    work = lambda batches: marks(batches, run, least, window, keys_only)
+    return docs.select("doc_id", "row_key", "text").mapInArrow(work, "h1 long" if keys_only else MARKS)
+
+
+def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST, window: int = WINDOW) -> DataFrame:
+    """doc_id, row_key, covered: the runs (lo, hi) of each row that are not the first of their kind in the whole table.
+
+    docs: doc_id, row_key, text. The first is the smallest (doc_id, row_key, sentence); a later one may stand in
+    the same text. Counts of 64-bit keys, added up in the tasks, tell the keys that come twice; only their
+    runs are kept, told apart by the other 32 bits, and each is held against its first. Both joins meet on plain
+    exchanges, so that adaptive execution splits a run that very many texts hold.
     """
-    all_runs = materialise(occurrences(docs, run, min_words).distinct(), "span-runs")
-    where = F.struct("doc_id", "row_key", "place")
-    repeated = all_runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(where).alias("first")).where("n > 1")
-    repeated = materialise(repeated.select("h1", "h2", "first"), "span-repeats")
-    hits = all_runs.join(repeated, ["h1", "h2"]).where(~where.eqNullSafe(F.col("first")))
-    covered = F.flatten(F.collect_set(F.sequence(F.col("place"), F.col("place") + (run - 1))))
-    return hits.groupBy("doc_id", "row_key").agg(F.array_sort(F.array_distinct(covered)).alias("covered"))
+    keys = occurrences(docs, run, least, window, keys_only=True)
+    twice = materialise(keys.groupBy("h1").count().where("count > 1").select("h1"), "span-keys")
+    hits = materialise(occurrences(docs, run, least, window).join(twice.hint("merge"), "h1", "left_semi"), "span-hits")
+    where = F.struct("doc_id", "row_key", "lo")
+    first = hits.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
+    first = materialise(first.select("h1", "h2", "first"), "span-first")
+    later = hits.join(first.hint("merge"), ["h1", "h2"]).where(~where.eqNullSafe(F.col("first")))
+    return later.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("lo", "hi")).alias("covered"))
+
+
+def cut(text: str | None, covered: list | None, known: Hashes, window: int = WINDOW) -> tuple[str | None, int, int]:
+    """The text without its covered sentences (each goes with the white space after it), its sentences, and how many went."""
+    if not text:
+        return text, 0, 0
+    b = bounds(hashes_of(words_of(text), known), window)
+    n = len(b) - 1
+    if not covered or not n:
+        return text, n, 0
+    gone = np.zeros(n, bool)
+    for c in covered:
+        gone[c["lo"] : c["hi"]] = True
+    begins = [m.start() for m in WORD.finditer(text)]
+    at = [0, *(begins[k] for k in b[1:-1].tolist()), len(text)]
+    return "".join(text[at[k] : at[k + 1]] for k in np.flatnonzero(~gone).tolist()), n, int(gone.sum())
+
+
+def dedup_spans(docs: DataFrame, run: int = RUN, least: int = LEAST, window: int = WINDOW) -> DataFrame:
+    """All columns of docs with text without its repeated sentences, then n_sentences and n_removed (long).
+
+    Sentences are compared by their words in lower case, whatever the white space between them. Rows and
+    repeated rows all stay; rows with equal doc_id and text are one document, a null doc_id is the smallest. A
+    text whose every sentence is a repeat becomes empty; a null text stays null and an empty one empty, with no
+    sentences; texts without repeats are unchanged. Columns n_sentences and n_removed of docs are replaced.
+    """
+    columns = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row_key"), text.alias("text"))
+    ident, key, covered, made = fresh(docs, "id", "key", "covered", "made")
+    marked = repeated_spans(base, run, least, window).select(F.coalesce("doc_id", F.lit(-1)).alias(ident), F.col("row_key").alias(key), F.col("covered").alias(covered))
+    marked = materialise(marked, "span-covered")
+    keyed = docs.select(*[F.col(quoted(c)) for c in columns], F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias(ident), F.xxhash64(F.col("doc_id").cast("long"), text).alias(key))
 
+    def batch(texts: pa.Array, hits: pa.Array) -> pa.Array:
+        rows = [cut(t, c, remembered(), window) for t, c in zip(texts.to_pylist(), hits.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()))], ["text", "n_sentences", "n_removed"])
 
-def dedup_spans(docs: DataFrame, run: int = 3, min_words: int = 6) -> DataFrame:
-    """All columns of docs with text without its repeated sentences, then n_sentences and n_removed.
+    cutting = F.arrow_udf(batch, "struct<text:string,n_sentences:long,n_removed:long>")
+    done = keyed.join(marked.hint("merge"), [ident, key], "left").withColumn(made, cutting(F.col("text").cast("string"), F.col(covered)))
+    out = [F.col(f"{made}.text").alias(c) if c.lower() == "text" else F.col(quoted(c)) for c in columns]
+    return done.select(*out, f"{made}.n_sentences", f"{made}.n_removed")
 
-    Rows and repeated rows all stay; a text whose every sentence is a repeat becomes empty; a null text
-    stays null with no sentences. Texts without repeats are unchanged.
-    """
-    columns = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marks = materialise(repeated_spans(docs, run, min_words).select(F.col("row_key").alias("_key"), F.col("covered").alias("_covered")), "span-marks")
-    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64("doc_id", text).alias("_key"))
-    joined = keyed.join(marks, "_key", "left").withColumn("_s", sentences(text))
-    kept = F.filter("_s", lambda x, i: ~F.array_contains("_covered", i))
-    cleaned = F.when(F.col("_covered").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, ""))
-    out = [cleaned.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns]
-    return joined.select(*out, F.size("_s").cast("long").alias("n_sentences"), F.coalesce(F.size("_covered"), F.lit(0)).cast("long").alias("n_removed"))

@@ -178,13 +178,6 @@ def test_spans_edges(spark):
     assert spans.dedup_spans(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("text", ["", "a", "...", "A b. C?! d\n\ne  f", "x " * 40, "\x0b\x0c. é\u00a0z", "3.14 and v1.2"])
-def test_sentences_are_the_text(spark, text):
-    from pyspark.sql import functions as F
-
-    assert "".join(spark.createDataFrame([(text,)], "t string").select(spans.sentences(F.col("t")).alias("s")).first()["s"]) == text
-
-
 def test_minimax_cuts_against_brute_force():
     rng = random.Random(2)
 
