@@ -1,4 +1,11 @@
-"""Minimax contiguous sharding of equal-text groups."""
+"""Minimax contiguous sharding of equal-text groups, ordered by the MD5 of the text.
+
+The driver never holds all groups. It starts from the bytes below each 16-bit prefix of the MD5 (65,536
+numbers at most) and looks closer only where a cut can fall: the smallest capacity lies between the one for
+prefixes taken whole and the one for prefixes that could be split anywhere, and only prefixes that a cut
+may meet within those bounds are divided by the next 8 bits, until they are single texts. So the capacity and
+the cuts are those over all single texts.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +15,6 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from lumenlake.sources.scratch import materialise
 
@@ -90,37 +96,114 @@ def minimax_cuts(sizes: list[int], shards: int) -> tuple[int, list[int]]:
     return capacity, cuts
 
 
-def shard(docs: DataFrame, shards: int = 24, group_bits: int = 16, rows_a_cell: int = 1000) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot: the shards are contiguous in group order and nearly equal in bytes.
+def split_capacity(ends: list[int], single: list[bool], atom: int, shards: int) -> int:
+    """The smallest capacity if a cell that is no single text could be cut anywhere: none over single texts is lower."""
+
+    def enough(capacity: int) -> bool:
+        end = 0
+        for _ in range(shards):
+            end += capacity
+            if end >= ends[-1]:
+                return True
+            k = bisect_right(ends, end)
+            if single[k]:
+                end = ends[k - 1] if k else 0
+        return False
 
-    Atomic groups are the 2**group_bits prefixes of the text's MD5, in order: equal texts always share one,
-    and the sizes that reach the driver are bounded by the number of prefixes, whatever the corpus holds.
-    Slots are gapless from 0 in each shard: rows of a group are numbered in cells of about rows_a_cell
-    rows, so that a group of very many copies is spread over tasks. Null texts count as empty ones
-    (size 8, CRC 0); null doc_ids and repeated rows keep their row; an empty table gives no rows.
+    low, high = max(atom, -(-ends[-1] // shards)), ends[-1]
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if enough(mid) else (mid + 1, high)
+    return low
+
+
+def open_cells(sizes: list[int], low: int, high: int, shards: int) -> set[int]:
+    """The cells in which a greedy cut may fall for some capacity from low to high, wherever it falls inside cells."""
+    ends, out = list(accumulate(sizes)), set()
+    first, last = 0, 0  # least and greatest start of the next shard
+    for _ in range(shards - 1):
+        a = bisect_right(ends, first + low)  # the earliest end is in cell a, at its first byte at least
+        b = min(bisect_right(ends, last + high), len(ends) - 1)
+        if a >= len(ends):
+            break
+        out.update(range(a, b + 1))
+        first, last = (ends[a - 1] if a else 0), min(ends[b], last + high)
+    return out
+
+
+class Cells:
+    """Ordered ranges of the MD5 (as hexadecimal prefixes) with their bytes, rows and distinct texts."""
+
+    def __init__(self, rows: DataFrame, digits: int = 4):
+        self.rows, self.digits = rows, digits
+        self.held = self.measured(rows, digits)
+
+    def measured(self, rows: DataFrame, digits: int) -> list[tuple[str, int, bool]]:
+        """(prefix, bytes, one text): texts with equal MD5 are added up in the tasks first."""
+        texts = rows.groupBy("md5").agg(F.sum("size").alias("size"))
+        cells = texts.groupBy(F.substring("md5", 1, digits).alias("cell")).agg(F.sum("size").alias("size"), F.min("md5").alias("least"), F.max("md5").alias("most"), F.max("size").alias("atom"))
+        found = cells.collect()
+        self.atom = max([getattr(self, "atom", 0), *(r["atom"] for r in found)])
+        return sorted((r["least"] if r["least"] == r["most"] else r["cell"], r["size"], r["least"] == r["most"]) for r in found)
+
+    def divide(self, places: list[int]) -> None:
+        """The cells at these places by two more digits each."""
+        spark, digits = self.rows.sparkSession, self.digits
+        by: dict[int, list[str]] = {}
+        for k in places:
+            by.setdefault(len(self.held[k][0]), []).append(self.held[k][0])
+        for length, cells in by.items():
+            wanted = spark.createDataFrame([(c,) for c in cells], "cell string")  # a few hundred
+            own = self.rows.withColumn("cell", F.substring("md5", 1, length)).join(F.broadcast(wanted), "cell", "left_semi")
+            gone = set(cells)
+            self.held = sorted([c for c in self.held if c[0] not in gone] + self.measured(own.drop("cell"), length + 2))
+        self.digits = digits
+
+
+def exact_cuts(rows: DataFrame, shards: int, digits: int = 4) -> tuple[int, list[str]]:
+    """Smallest capacity over single texts of rows (md5, size) in the order of md5, and the first md5 of shards 1.."""
+    cells = Cells(rows, digits)
+    while cells.held:
+        sizes = [c[1] for c in cells.held]
+        high, cuts = minimax_cuts(sizes, shards)
+        single = [c[2] for c in cells.held]
+        low = split_capacity(list(accumulate(sizes)), single, cells.atom, shards)
+        places = open_cells(sizes, low, high, shards) | {c + k for c in cuts for k in (-1, 0) if c + k < len(sizes)}
+        coarse = [k for k in sorted(places) if not single[k]]
+        if not coarse:
+            return high, [cells.held[c][0] for c in cuts]
+        cells.divide(coarse)
+    return 0, []
+
+
+def shard(docs: DataFrame, shards: int = 24, digits: int = 4) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot: the shards are contiguous in the order of the text's MD5 and nearly equal in bytes.
+
+    Atomic groups are equal texts. Slots are gapless from 0 in each shard: rows are sorted by MD5 over range
+    partitions, equal ones dealt between neighbours by chance, and numbered by the place in their partition and
+    the rows before it, so that no group, null id or repeated row has to fit one task. Null texts count as empty
+    ones (size 8, CRC 0); null doc_ids and repeated rows keep their row; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
-        F.col("doc_id").cast("long"),
+        F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long").alias("hash"),
-    ).withColumn("group", F.shiftright("hash", 32 - group_bits).cast("int"))
-    rows = materialise(rows, "shard-rows")
-    totals = rows.groupBy("group").agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy("group").collect()
-    _, cuts = minimax_cuts([r["size"] for r in totals], shards)
-    plan = [(r["group"], bisect_right(cuts, k), -(-r["n"] // rows_a_cell)) for k, r in enumerate(totals)]
-    kind = T.StructType([T.StructField("group", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("cells", T.LongType())])
-    groups = spark.createDataFrame(plan, kind)  # at most 2**group_bits rows
-    cell = F.pmod(F.xxhash64("doc_id"), F.col("cells"))
-    rows = rows.join(F.broadcast(groups), "group").withColumn("cell", cell.cast("int")).drop("cells")
-    counts = rows.groupBy("shard", "group", "cell").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("group", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("group", "cell", "start")
-    starts = materialise(starts, "shard-starts")
-    place = Window.partitionBy("group", "cell").orderBy("hash", "doc_id", "text_crc32")
-    numbered = rows.withColumn("place", F.row_number().over(place))
-    return numbered.join(starts, ["group", "cell"]).select(
-        "doc_id", "size", "text_crc32", F.col("shard"), (F.col("start") + F.col("place") - 1).alias("slot")
+        F.md5(text.cast("binary")).alias("md5"),
     )
+    rows = materialise(rows, "shard-rows")
+    _, cuts = exact_cuts(rows.select("md5", "size"), shards, digits)
+    number = F.lit(0)
+    for cut in cuts:  # one comparison for each shard
+        number = number + (F.col("md5") >= F.lit(cut)).cast("int")
+    placed = rows.withColumn("shard", number).withColumn("chance", F.rand(17)).repartitionByRange("md5", "chance").sortWithinPartitions("md5", "chance")
+    placed = placed.select("doc_id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("at"))
+    placed = materialise(placed.withColumn("part", F.shiftright("at", 33).cast("int")), "shard-placed")
+    runs = placed.groupBy("part", "shard").agg(F.min("at").alias("from"), F.count("*").alias("n")).orderBy("part", "shard").collect()  # partitions + shards rows at most
+    before, starts = [0] * shards, []
+    for r in runs:
+        starts.append((r["part"], r["shard"], before[r["shard"]] - r["from"]))
+        before[r["shard"]] += r["n"]
+    kind = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("shift", T.LongType())])
+    shift = F.broadcast(docs.sparkSession.createDataFrame(starts, kind))
+    return placed.join(shift, ["part", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("at") + F.col("shift")).alias("slot"))
