@@ -132,15 +132,15 @@ ORACLES = {
             SELECT DISTINCT doc_id, text, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
         ), b AS (
             SELECT item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark
-        ), ds AS (
-            SELECT DISTINCT doc_id, text, array_to_string(w[i:i + 4], ' ') AS s
-            FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
         ), bs AS (
-            SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
-            FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM b WHERE len(w) > 0)
+            SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS s
+            FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT *, least(len(w), 5) AS m FROM b WHERE len(w) > 0))
+        ), ds AS (
+            SELECT DISTINCT doc_id, text, m, array_to_string(w[i:i + m - 1], ' ') AS s
+            FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bs) WHERE len(w) >= m)
         ), n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
         SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, CAST(count(*) AS BIGINT) AS n_shared, count(*) / CAST(n AS DOUBLE) AS containment
-        FROM ds JOIN bs USING (s) JOIN n USING (item_id)
+        FROM ds JOIN bs USING (s, m) JOIN n USING (item_id)
         GROUP BY doc_id, text, item_id, n HAVING count(*) >= 0.8 * n - 1e-9
     """,
     "op9_url_rules": r"""

@@ -213,13 +213,13 @@ def test_sharding_law(spark, sf_dir):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     groups = defaultdict(int)
     for d, t in docs.items():
-        groups[hashlib.md5(t.encode()).hexdigest()[:4]] += len(t.encode()) + 8
+        groups[hashlib.md5(t.encode()).hexdigest()] += len(t.encode()) + 8
     assert max(total.values()) == sharding.minimax_cuts([groups[g] for g in sorted(groups)], 24)[0]
 
 
 def test_sharding_edges(spark):
     docs = odd_docs(spark, [(k, "a copy", "en", "c", 6) for k in range(100, 160)])
-    rows = sharding.shard(docs, 3, rows_a_cell=7).collect()
+    rows = sharding.shard(docs, 3).collect()
     assert len(rows) == 68
     slots = defaultdict(list)
     for r in rows:
@@ -364,7 +364,7 @@ def test_html_edges(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string"), net).count() == 0
 
 
-def test_decontamination_scattered_and_long(spark):
+def test_decontamination_scattered_and_long(spark, monkeypatch):
     rng = random.Random(6)
     vocabulary = [f"w{k}" for k in range(400)]
     items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([1, 3, 5, 9, 20, 40, 80])))) for k in range(60)] + [(60, None), (61, ""), (61, "")]
@@ -379,19 +379,30 @@ def test_decontamination_scattered_and_long(spark):
             words[at:at] = part
         docs.append((k, "\t".join(words)))
 
-    def runs(text):
+    def runs(text, n):
         w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
-    want = {(d, i) for d, t in docs for i, q in items if runs(q) and len(runs(q) & runs(t)) >= 0.8 * len(runs(q))}
+    sizes = {i: min(5, len((q or "").split())) for i, q in items}
+    want = {(d, i) for d, t in docs for i, q in items if sizes[i] and len(runs(q, sizes[i]) & runs(t, sizes[i])) >= 0.8 * len(runs(q, sizes[i]))}
+    assert {1, 3} <= {sizes[i] for _, i in want}  # items of fewer than five words inside longer documents
     got = decontaminate.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) > 40
+    monkeypatch.setattr(decontaminate, "ROOM", 5)  # nothing is sent to every task
+    got = decontaminate.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
 def test_decontamination_edges(spark):
     docs = odd_docs(spark)
     items = spark.createDataFrame([(1, "one two three. four five six seven."), (2, None), (3, "x y z")], "item_id long, text string")
+    short = spark.createDataFrame([(7, "THREE. Four five six"), (8, "four six")], "item_id long, text string")
+    within = decontaminate.contained(spark.createDataFrame([(1, "x y one two three four z w v u")], "doc_id long, text string"), spark.createDataFrame([(1, "one two three four")], "item_id long, text string"))
+    assert [(r["doc_id"], r["item_id"], r["n_shingles"], r["containment"]) for r in within.collect()] == [(1, 1, 1, 1.0)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contained(docs, short).collect()) == [(3, 7), (4, 7)]
     assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contained(docs, items).collect()) == [(3, 1), (4, 1)]
+    clash = docs.selectExpr("*", "'x' AS `key`", "'x' AS ident", "'x' AS _key", "'x' AS doc_key", "'x' AS items", "'x' AS m")
+    assert decontaminate.decontaminate(clash, items).columns == clash.columns and decontaminate.decontaminate(clash, items).where("_key = 'x' and ident = 'x'").count() == 5
     kept = decontaminate.decontaminate(docs, items)
     assert kept.columns == docs.columns and kept.count() == 5
     assert decontaminate.contained(docs.limit(0), items).count() == 0 and decontaminate.decontaminate(docs, items.limit(0)).count() == 8
