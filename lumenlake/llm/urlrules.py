@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules up to this many are sent to every task; above it the join on host suffixes is used.
-RULES_EVERYWHERE = 200_000
+JUDGED = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
 
 
 def host_and_path(url: str | Column) -> tuple[Column, Column]:
@@ -22,91 +22,113 @@ def host_and_path(url: str | Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def canonical(host: str) -> str:
-    """Reversed labels, each closed by a separator below all host characters: subdomains of h follow h directly, as one interval."""
-    return "".join(f"{label}\x00" for label in reversed(host.split(".")))
+class Paths:
+    """The path rules of one host, sorted; each knows the nearest other one that is a prefix of it."""
+
+    def __init__(self, rules: list[tuple[str, str, str]]):
+        self.rules = sorted(rules)
+        self.paths, self.within, stack = [r[0] for r in self.rules], [], []
+        for k, path in enumerate(self.paths):
+            while stack and not path.startswith(self.paths[stack[-1]]):
+                stack.pop()
+            self.within.append(stack[-1] if stack else -1)
+            stack.append(k)
+
+    def longest(self, path: str) -> tuple[str, str, str] | None:
+        """The rule with the longest path that `path` starts with."""
+        k = bisect_right(self.paths, path) - 1
+        while k >= 0 and not path.startswith(self.paths[k]):
+            k = self.within[k]
+        return self.rules[k] if k >= 0 else None
 
 
 class Sweep:
-    """Rules sorted by key and a stack of those whose interval holds the current key.
+    """A stack of the hosts whose interval holds the current key, each with its path rules.
 
-    A rule's interval is every key that starts with its own, so intervals are nested or apart; a
-    stack entry holds all path rules of one host, longest path first.
+    A host's interval is every key that starts with its own, so intervals are nested or apart. Rules come in
+    the order of their keys, before the urls of the same key.
     """
 
-    def __init__(self, rules: list[tuple[str, str, str]]):
-        by: dict[str, list[tuple[str, str, str]]] = {}
-        for host, path, verdict in rules:
-            by.setdefault(canonical(host), []).append((path, f"{host}{path}", verdict))
-        self.keys = sorted(by)
-        self.paths = [sorted(by[k], key=lambda x: (-len(x[0]), x)) for k in self.keys]
-        self.next, self.stack = 0, []
-
-    def move(self, key: str) -> None:
-        """Go on to a key that is not below the last one."""
-        while self.next < len(self.keys) and self.keys[self.next] <= key:
-            new = self.keys[self.next]
-            while self.stack and not new.startswith(self.keys[self.stack[-1]]):
-                self.stack.pop()
-            self.stack.append(self.next)
-            self.next += 1
-        while self.stack and not key.startswith(self.keys[self.stack[-1]]):
+    def __init__(self):
+        self.stack: list[tuple[str, Paths]] = []
+        self.coming: list[tuple[str, str, str]] = []
+        self.key: str | None = None
+
+    def rule(self, key: str, path: str, said: str, verdict: str) -> None:
+        if key != self.key:
+            self.settle(key)
+            self.key = key
+        self.coming.append((path, said, verdict))
+
+    def settle(self, key: str) -> None:
+        """Close the host whose rules came last, and leave those whose interval ends before key."""
+        if self.coming:
+            self.stack.append((self.key, Paths(self.coming)))
+            self.coming = []
+        while self.stack and not key.startswith(self.stack[-1][0]):
             self.stack.pop()
 
-    def best(self, path: str) -> tuple[str | None, str | None]:
-        found = None
-        for k in reversed(self.stack):
-            for prefix, rule, verdict in self.paths[k]:
-                if path.startswith(prefix):
-                    if found is None or len(rule) > len(found[0]):
-                        found = (rule, verdict)
-                    break
-        return found or (None, None)
+    def best(self, key: str, path: str) -> tuple[str | None, str | None]:
+        """The longest rule (host and path) for a url whose key is not below the last one; on ties that of the longer host."""
+        self.settle(key)
+        found = (None, None)
+        for _, paths in reversed(self.stack):
+            held = paths.longest(path)
+            if held and (found[0] is None or len(held[1]) > len(found[0])):
+                found = held[1:]
+        return found
+
+
+def split_points(urls: DataFrame, parts: int, sample: int) -> list[tuple]:
+    """At most parts - 1 places (key, path, page_id) that deal the urls evenly, from `sample` of them chosen by a hash."""
+    picked = urls.select("key", "path", "page_id").orderBy(F.xxhash64("page_id", "key", "path")).limit(sample).collect()
+    order = sorted((r["key"], r["path"], -1 if r["page_id"] is None else r["page_id"]) for r in picked)
+    return sorted({order[k * len(order) // parts] for k in range(1, parts)} if order else set())
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", every: int = RULES_EVERYWHERE) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", parts: int | None = None, sample: int = 20_000) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages.
 
-    rules: host, path, verdict. A rule fits its host and all subdomains if the url's path starts with
-    its path; the longest rule (host and path) wins, on equal length that of the longer host. Null urls
+    rules: host, path, verdict, any number. A rule fits its host and all subdomains if the url's path starts
+    with its path; the longest rule (host and path) wins, on equal length that of the longer host. Null urls
     and urls without :// have an empty host and path, no rule and the default verdict. Rules with a null
-    field are ignored; of equal rules with two verdicts `block` holds. Repeated pages are kept.
+    field are ignored; of equal rules with two verdicts the greater one (`block` over `allow`) holds. Repeated
+    pages are kept; a null page_id keeps its row.
 
-    Urls are range-partitioned and sorted by the canonical key with page_id, so a host with very many
-    pages is spread over tasks. Every task sweeps its sorted run against the sorted rules. Rule sets above
-    `every` are not sent to the tasks: urls are then joined on each suffix of their host.
+    Urls are dealt to `parts` ranges of (key, path, page_id), so a host with very many pages is spread over tasks.
+    The ranges follow from a bounded sample, which decides the balance only. A rule goes to each range that its
+    interval of keys meets; a task sweeps the sorted rules and urls of its range and holds no more than the
+    rules of the hosts around the current key.
     """
     spark = pages.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     host, path = host_and_path("url")
-    urls = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
-    rules = rules.select("host", "path", "verdict").dropna().groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    held = rules.limit(every + 1).collect()
-    if len(held) > every:
-        return _by_suffix(urls, rules, default)
-    table = spark.sparkContext.broadcast([(r["host"], r["path"], r["verdict"]) for r in held])
-    key = F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "\x00"), F.lit("\x00"))
-    keyed = urls.withColumn("key", key).repartitionByRange("key", "path", "page_id").sortWithinPartitions("key")
-
-    def sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = Sweep(table.value)
-        for f in frames:
-            out = []
-            for k, p in zip(f["key"], f["path"], strict=True):
-                state.move(k)
-                out.append(state.best(p))
-            rule, verdict = zip(*out, strict=True) if out else ((), ())
-            yield pd.DataFrame({"page_id": f["page_id"], "host": f["host"], "path": f["path"], "rule": pd.Series(rule, dtype=object, index=f.index), "verdict": [v or default for v in verdict]})
-
-    return keyed.mapInPandas(sweep, "page_id long, host string, path string, rule string, verdict string")
-
-
-def _by_suffix(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same verdicts for any number of rules: an equal join on each host suffix, the longest match kept."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    keyed = urls.withColumn("row", F.monotonically_increasing_id())
-    rules = rules.select(F.col("host").alias("suffix"), F.col("path").alias("prefix"), F.col("verdict").alias("said"))
-    hits = keyed.withColumn("suffix", F.explode(suffixes)).join(rules, "suffix").where(F.expr("startswith(path, prefix)"))
-    rank = F.struct(F.length(F.concat("suffix", "prefix")), F.length("suffix"), F.concat("suffix", "prefix").alias("rule"), F.col("said").alias("said"))
-    best = hits.groupBy("row").agg(F.max(rank).alias("m"))
-    return keyed.join(best, "row", "left").select("page_id", "host", "path", F.col("m.rule").alias("rule"), F.coalesce("m.said", F.lit(default)).alias("verdict"))
+    key = lambda h: F.concat(F.array_join(F.reverse(F.split(h, r"\.")), "\x00"), F.lit("\x00"))
+    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", key(F.col("host")))
+    points = split_points(urls, parts, sample)
+    held = spark.createDataFrame([(points,)], "points array<struct<key:string,path:string,page_id:long>>").select(F.col("points").alias("_points"))  # one row of parts - 1 places
+    own = F.struct("key", "path", F.coalesce("page_id", F.lit(-1)).alias("page_id"))
+    dealt = urls.crossJoin(F.broadcast(held)).withColumn("part", F.size(F.filter("_points", lambda p: p <= own))).drop("_points")
+    rules = rules.select("host", "path", "verdict").dropna().groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("key", key(F.col("host")))
+    low = F.size(F.filter("_points", lambda p: p["key"] < F.col("key")))
+    high = F.size(F.filter("_points", lambda p: (p["key"] <= F.col("key")) | F.startswith(p["key"], F.col("key"))))
+    spread = rules.crossJoin(F.broadcast(held)).withColumn("part", F.explode(F.sequence(low, F.greatest(low, high)))).drop("_points")
+    both = dealt.select("part", "key", F.lit(1).alias("url"), "path", "page_id", "host", F.lit(None).cast("string").alias("verdict"))
+    both = both.unionByName(spread.select("part", "key", F.lit(0).alias("url"), "path", F.lit(None).cast("long").alias("page_id"), "host", "verdict"))
+    both = both.repartitionByRange(parts, "part").sortWithinPartitions("part", "key", "url")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, at = Sweep(), None
+        for batch in batches:
+            out: list[tuple] = []
+            for part, k, url, p, page, h, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != at:
+                    state, at = Sweep(), part
+                if url:
+                    rule, verdict = state.best(k, p)
+                    out.append((page, h, p, rule, verdict or default))
+                else:
+                    state.rule(k, p, h + p, v)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(JUDGED.types)], schema=JUDGED)
+
+    return both.mapInArrow(sweep, "page_id long, host string, path string, rule string, verdict string")

@@ -417,17 +417,19 @@ def brute_rule(url, rules, default="allow"):
     return host, path, best and best[2], best[3] if best else default
 
 
-@pytest.mark.parametrize("every", [100, 0])
-def test_url_rules_against_brute_force(spark, every):
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_url_rules_against_brute_force(spark, parts):
     rng = random.Random(3)
-    rules = list(Q.URL_RULES) + [("a.example.com", "/en/", "allow"), ("com", "", "allow"), ("b.c", "/x", "block"), ("c", "/x/y", "allow")]
+    rules = list(Q.URL_RULES) + [("a.example.com", "/en/", "allow"), ("com", "", "allow"), ("b.c", "/x", "block"), ("c", "/x/y", "allow"), ("", "/", "block"), ("example.org", "/e", "allow")]
+    rules += [(f"{h}example.{t}", f"/{rng.choice(['en', 'de', 'es'])}{rng.choice(['', '/', '/8', '/7', '/81'])}", rng.choice(["allow", "block"])) for h in ("", "a.", "www.a.") for t in ("com", "net", "org") for _ in range(4)]
+    rules = list({r[:2]: r for r in rules}.values())
     urls = [None, "", "no scheme", "http://", "https://EXAMPLE.com/en/7?x#y", "http://com/en/", "ftp://x.b.c/x/y", "http://notexample.com/en/7", "a://b://c/x"]
     urls += [f"http://{rng.choice(['', 'a.', 'www.a.', 'xa.'])}example.{rng.choice(['com', 'net', 'org'])}{rng.choice(['', '/', '/en/7', '/en/81', '/de/8', '/de/1', '/es/'])}" for _ in range(200)]
     pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, host string")
     table = spark.createDataFrame([*rules, (None, "x", "block")], "host string, path string, verdict string")
-    got = {r["page_id"]: tuple(r)[1:] for r in urlrules.judge(pages, table, every=every).collect()}
+    got = {r["page_id"]: tuple(r)[1:] for r in urlrules.judge(pages, table, parts=parts).collect()}
     assert got == {k: brute_rule(u, rules) for k, u in enumerate(urls)}
-    assert urlrules.judge(pages.limit(0), table, every=every).count() == 0
+    assert urlrules.judge(pages.limit(0), table, parts=parts).count() == 0
 
 
 def reference_encoding():
