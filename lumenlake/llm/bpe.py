@@ -123,11 +123,11 @@ def encode(docs: DataFrame, path: str, pattern: str, out: str = "ids") -> DataFr
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """docs with `out`, the bytes of the ids: the tokens' pieces one after another."""
+    """docs with `out`, the bytes of the ids: the tokens' pieces one after another; null for null, empty for none."""
 
     def run(rows: pd.Series) -> pd.Series:
         c = codec(path, pattern)
-        return pd.Series([c.decode(r.tolist()) for r in rows], dtype=object)
+        return pd.Series([None if r is None else c.decode(r.tolist()) for r in rows], dtype=object)
 
     return docs.withColumn(out, F.pandas_udf(run, "binary")(F.col(ids)))
 

@@ -13,9 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlake.llm.samples import within
+
 # Element names by their role in HTML, and words of class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg annotation annotation-xml iframe object canvas".split())
+RAW = frozenset("script style template textarea annotation annotation-xml iframe canvas".split())
 TO_THE_END = frozenset(["script", "style"])  # without a closing tag, the rest of the page belongs to them
 BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -99,7 +101,7 @@ def blocks(page: str | None) -> list[Block]:
             parts.append(" ")
             continue
         if name in RAW:
-            if name in unclosed or (name == "svg" and m["rest"].endswith("/")):
+            if name in unclosed:
                 continue
             end = re.compile(rf"</{name}\s*>?", re.I).search(page, at)
             if end:
@@ -274,7 +276,7 @@ def varied(page: list[Block], y: list[int], rng: random.Random) -> tuple[list[Bl
         other = rng.choice([("div", f".{rng.choice(GOOD_WORDS)}"), ("section", f".{rng.choice(GOOD_WORDS)}"), ("main",), ("main", "article")])
         page = [Block(tuple(x for t in b.path for x in (other if t in GOOD_TAGS else (t,))), b.text, b.linked) for b in page]
     good = [k for k, v in enumerate(y) if v]
-    for _ in range(rng.randrange(4)):
+    for _ in range(rng.randrange(7)):
         if not good:
             break
         tag, word = rng.choice(sorted(BAD_TAGS - {"head", "title"}) + ["div", "section", "ul"] * 4), rng.choice(BAD_WORDS)
@@ -289,11 +291,8 @@ def varied(page: list[Block], y: list[int], rng: random.Random) -> tuple[list[Bl
     return page, np.array(y, dtype=float)
 
 
-def fit(pages: list[str], epochs: int = 4, rate: float = 0.1, longest: int = 120) -> Labeller:
-    """Train on pages whose own markup names the main part (an article or main element); others teach nothing.
-
-    For training alone, pages of more than `longest` blocks are cut to that many around the end of the main part.
-    """
+def fit(pages: list[str], epochs: int = 6, rate: float = 0.1) -> Labeller:
+    """Train on pages whose own markup names the main part (an article or main element); others teach nothing."""
     net, rng = Labeller(), random.Random(9)
     acc = {k: np.full_like(v, 1e-2) for k, v in net.p.items()}
     known = []
@@ -301,9 +300,7 @@ def fit(pages: list[str], epochs: int = 4, rate: float = 0.1, longest: int = 120
         b = blocks(page)
         y = [weak_label(x.path) for x in b]
         if any(y):
-            last = max(k for k, v in enumerate(y) if v)
-            start = max(0, min(last - longest // 2, len(b) - longest)) if len(b) > longest else 0
-            known.append((b[start : start + longest], y[start : start + longest]))
+            known.append((b, y))
     for _ in range(epochs):
         rng.shuffle(known)
         for b, y in known:
@@ -312,14 +309,17 @@ def fit(pages: list[str], epochs: int = 4, rate: float = 0.1, longest: int = 120
     return net
 
 
-def train(pages: DataFrame, bound: int = 300, longest_chars: int = 20_000) -> Labeller:
-    """Fit on at most `bound` pages of at most longest_chars characters, chosen by a hash of their url and id.
+def train(pages: DataFrame, bound: int = 300, room: int = 6_000_000) -> Labeller:
+    """Fit on at most `bound` whole pages of at most `room` characters together, chosen by a hash of their url and id.
 
-    Tasks send the driver hashes only; the chosen pages, one row of each, follow. Repeated rows count once.
+    Tasks send the driver hashes and lengths only; the chosen pages, one row of each, follow. Repeated rows count once.
     """
-    own = pages.where(F.length("html") <= longest_chars).select(F.xxhash64("url", "page_id").alias("h"), "html")
-    picked = own.select("h").distinct().orderBy("h").limit(bound)
-    rows = own.join(F.broadcast(picked), "h").groupBy("h").agg(F.min("html").alias("html")).collect()
+    own = pages.where("html is not null").select(F.xxhash64("url", "page_id").alias("h"), "html")
+    sizes = own.groupBy("h").agg(F.min(F.length("html")).alias("n")).orderBy("h").limit(bound).collect()
+    fitting = within([(r["h"], r["h"], r["n"]) for r in sizes], room)
+    if not fitting:
+        return fit([])
+    rows = own.where(F.col("h").isin(fitting)).groupBy("h").agg(F.min_by("html", F.struct(F.length("html"), "html")).alias("html")).collect()
     return fit([r["html"] for r in sorted(rows, key=lambda r: r["h"])])
 
 

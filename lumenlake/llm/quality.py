@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlake.llm.names import fresh, quoted
 from lumenlake.llm.samples import labelled_sample
 
 WORD_BITS, CHAR_BITS, PAIR_BITS = 15, 16, 16
@@ -146,6 +147,7 @@ def judge(docs: DataFrame, model: dict | None, threshold: float = 0.5, min_words
     sent = docs.sparkSession.sparkContext.broadcast(model)
     made = [*COLUMNS, "base_failed", "quality_score", "kept"]
     docs = docs.drop(*made)
+    (own,) = fresh(docs, "judged")
     kind = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality_score double, kept boolean"
 
     def run(parts: pd.Series) -> pd.DataFrame:
@@ -159,4 +161,4 @@ def judge(docs: DataFrame, model: dict | None, threshold: float = 0.5, min_words
             out.append((*n, failed, p, bool(not failed and p >= threshold)))
         return pd.DataFrame(out, columns=made)
 
-    return docs.withColumn("_q", F.pandas_udf(run, kind)(F.col("text").cast("string"))).select(*[F.col(f"`{c}`") for c in docs.columns], "_q.*")
+    return docs.withColumn(own, F.pandas_udf(run, kind)(F.col("text").cast("string"))).select(*[F.col(quoted(c)) for c in docs.columns], f"{own}.*")

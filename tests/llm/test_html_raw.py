@@ -8,7 +8,9 @@ from lumenlake.llm import html
 @pytest.mark.parametrize(
     "inner, text",
     [
-        ("One <svg class='a'/>two <svg><text>no</text></svg>three", "One two three"),
+        ("One <svg class='a'/>two <svg><style>no</style><text>and</text></svg> three", "One two and three"),
+        ("Take <math>x</math> and <noscript>fallback words</noscript> here", "Take x and fallback words here"),
+        ("One <object data='a.swf'>film</object> two <textarea>no</textarea>three", "One film two three"),
         ("One <math/>two", "One two"),
         ("Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math> be", "Let x=2 be"),
         *((f"One <{t}>two", "One two") for t in ("noscript", "object", "template", "canvas")),
