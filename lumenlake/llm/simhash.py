@@ -15,9 +15,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from lumenlake.llm.names import fresh, quoted
 from lumenlake.operators.graph import connected_components
 from lumenlake.sources.scratch import materialise
 
@@ -48,14 +50,18 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long). Map-only; a null text is an empty one."""
+    """doc_id, row_key (a hash of id and text), fp (the 64 bits as a signed long). Map-only; a null text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), dtype="<u8", count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("<i8"))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(2)), dtype="<u8", count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view("<i8"))], names=["doc_id", "row_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), row_key(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row_key long, fp long")
+
+
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -204,11 +210,31 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, rows_a_b
     component that has no other id; repeated rows are kept. Texts of one fingerprint are one node, so a
     large group of copies costs one row in the search.
     """
-    marked = materialise(fingerprints(docs, words), "simhash-docs")
+    return labelled(materialise(fingerprints(docs, words), "simhash-docs"), distance, rows_a_bucket).select("doc_id", "fp", "component_id")
+
+
+def labelled(marked: DataFrame, distance: int, rows_a_bucket: int) -> DataFrame:
+    """marked (doc_id, row_key, fp) with component (one of its fingerprints) and component_id."""
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
     member = connected_components(links(nodes.select("fp"), distance, rows_a_bucket), "a", "b")
     joined = materialise(nodes.join(member.withColumnRenamed("node", "fp"), "fp").select("fp", "low", "component"), "simhash-members")
     lows = materialise(joined.groupBy("component").agg(F.min("low").alias("component_low")), "simhash-lows")
-    found = joined.join(lows, "component").select("fp", "component_low")
-    labels = materialise(nodes.join(found, "fp", "left").select("fp", F.coalesce("component_low", "low").alias("component_id")), "simhash-labels")
-    return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+    found = joined.join(lows, "component").select("fp", "component", "component_low")
+    labels = materialise(nodes.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_low", "low").alias("component_id")), "simhash-labels")
+    return marked.join(labels, "fp")
+
+
+def keep_one(docs: DataFrame, words: int = 4, distance: int = 4, rows_a_bucket: int = 4096) -> DataFrame:
+    """docs with one row of each near-duplicate group: of the smallest (doc_id, hash of id and text), the first of equal rows.
+
+    Rows with one id and different texts are told apart. Null ids stay, all of them: they can't be named as copies.
+    All columns are kept; an empty table gives no rows.
+    """
+    named = docs.where("doc_id is not null")
+    groups = labelled(materialise(fingerprints(named, words), "simhash-docs"), distance, rows_a_bucket)
+    first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    ident, key, n = fresh(docs, "ident", "key", "n")
+    first = materialise(first.select(F.col("first.doc_id").alias(ident), F.col("first.row_key").alias(key)), "simhash-first")
+    kept = named.withColumns({ident: F.col("doc_id").cast("long"), key: row_key()}).join(first, [ident, key], "left_semi")
+    one = kept.withColumn(n, F.row_number().over(Window.partitionBy(ident, key).orderBy(F.lit(0)))).where(F.col(n) == 1)
+    return one.select(*[F.col(quoted(c)) for c in docs.columns]).unionByName(docs.where("doc_id is null"))

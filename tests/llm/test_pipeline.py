@@ -42,7 +42,26 @@ def test_stages(spark, sf_dir):
 
 def test_stages_take_odd_and_empty_tables(spark, sf_dir):
     docs = odd_docs(spark)
-    for name, stage in C.STAGES:
+    rows = lambda df: sorted(map(repr, df.select("doc_id", "text", "lang", "source").collect()))
+    every = rows(docs)
+    for k, (name, stage) in enumerate(C.STAGES):
         out = stage(spark, docs, sf_dir)
-        assert out.count() <= docs.count() and stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        if k < 4:
+            assert out.columns == docs.columns and all(r["slot"] == "x" for r in out.collect()), name
+        if k == 0:  # too few words but in one text
+            assert [r["doc_id"] for r in out.collect()] in ([5], [])
+        elif k == 1:  # 1 and 2 have no words, 3 stands twice and as 4
+            assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1, 3, 5, 6]
+        elif k in (2, 3):
+            assert rows(out) == every
+        else:
+            assert {r["doc_id"]: r["n_tokens"] for r in out.collect()}[1] == 0 and out.count() == 8
     assert bpe.REMEMBERED > 0
+
+
+def test_one_id_on_two_texts_keeps_both_groups(spark, sf_dir):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    docs = spark.createDataFrame([(1, texts[0], "x"), (1, texts[1], "x"), (2, texts[1], "x"), (3, texts[2], "x"), (3, texts[2], "x")], "doc_id long, text string, _n string")
+    out = C.near_dedup(spark, docs, sf_dir)
+    assert out.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted([(1, texts[0]), (1, texts[1]), (3, texts[2])])
