@@ -8,7 +8,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenlake.llm import bpe, decontaminate, quality, secrets, simhash
 from lumenlake.llm.queries import VOCABULARY
@@ -19,32 +18,32 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the trained model keep."""
+    """Documents that the base rules and the trained model keep; null and empty texts have too few words and go, repeated rows are judged alike."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, model).where("kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id, one row of it; null ids stay."""
-    groups = simhash.near_duplicates(docs.where("doc_id is not null"))
-    first = materialise(groups.where("doc_id = component_id").select("doc_id").distinct(), "pipeline-first")
-    kept = docs.join(first, "doc_id", "left_semi")
-    one = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_n = 1").drop("_n")
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each near-duplicate group: the one with the smallest doc_id, one row of it; null ids stay.
+
+    Null and empty texts have fingerprint zero and are one group; of repeated rows one stays.
+    """
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; null and empty texts hold none and stay, and so do repeated rows."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mark and n_chars brought up to date."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All documents, their secrets replaced by a mark and n_chars brought up to date (null for a null text)."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of the ids and of the decoded bytes of each document."""
+    """Token count and digests of the ids and of the decoded bytes of each document, repeated rows too; a null text is an empty one."""
     return bpe.digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
