@@ -15,11 +15,11 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.llm.names import fresh, quoted
-from lumenlake.sources.scratch import materialise
+from lumenlake.sources.scratch import discard, materialise
 
 #: Words among which one closes a sentence, and the least sentences and words of a run.
 WINDOW, RUN, LEAST = 10, 2, 12
@@ -28,8 +28,10 @@ UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
 WORD = re.compile(rf"[{UNSPACED}]|[^\x09-\x0D {UNSPACED}]+")
 DENSE = re.compile(rf"[{UNSPACED}]")
 CLOSING = re.compile(r"""[.!?。！？]["')\]”’»]*$""")
-MARKS = "h1 long, h2 int, doc_id long, row_key long, lo int, hi int"
-SCHEMA = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+MARKS = "h1 long, h2 int, ident long, row_key int, place int"
+SCHEMA = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("ident", pa.int64()), ("row_key", pa.int32()), ("place", pa.int32())])
+#: A place is a run's first sentence times this, and its number of sentences.
+SPAN = 64
 BASE, OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
@@ -111,91 +113,116 @@ def runs(h: np.ndarray, run: int, least: int, window: int) -> tuple[np.ndarray,
 
 
 def marks(batches: Iterable[pa.RecordBatch], run: int, least: int, window: int, keys_only: bool) -> Iterator[pa.RecordBatch]:
-    """doc_id, row_key, text to a row for each run; of keys_only h1 alone."""
+    """ident, row_key, text to a row for each run; of keys_only h1 alone."""
     known = remembered()
     for batch in batches:
         parts = []
-        for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for row, text in enumerate(batch.column(2).to_pylist()):
             h = hashes_of(words_of(text), known)
             lo, hi, first, end = runs(h, run, least, window)
             if len(lo):
                 h1 = between(h, first, end, BASE)
-                parts.append((doc_id, key, h1, None if keys_only else between(mix(h ^ np.uint64(OTHER)), first, end, BASE), lo, hi))
+                parts.append((row, h1, None if keys_only else between(mix(h ^ np.uint64(OTHER)), first, end, BASE), lo * SPAN + (hi - lo)))
         if not parts:
             continue
-        h1 = pa.array(np.concatenate([p[2] for p in parts]).view(np.int64))
+        h1 = pa.array(np.concatenate([p[1] for p in parts]).view(np.int64))
         if keys_only:
             yield pa.RecordBatch.from_arrays([h1], names=["h1"])
             continue
-        n = [len(p[2]) for p in parts]
-        ids = pa.array([p[0] for p in parts], pa.int64()).take(pa.array(np.repeat(np.arange(len(parts)), n)))
-        h2 = pa.array((np.concatenate([p[3] for p in parts]) >> np.uint64(32)).astype(np.uint32).view(np.int32))
-        place = [pa.array(np.concatenate([p[k] for p in parts]).astype(np.int32)) for k in (4, 5)]
-        yield pa.RecordBatch.from_arrays([h1, h2, ids, pa.array(np.repeat(np.array([p[1] for p in parts], np.int64), n)), *place], schema=SCHEMA)
+        of = pa.array(np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]))
+        h2 = pa.array((np.concatenate([p[2] for p in parts]) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        place = pa.array(np.concatenate([p[3] for p in parts]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([h1, h2, batch.column(0).take(of), batch.column(1).take(of), place], schema=SCHEMA)
+
+
+def identity() -> tuple[Column, Column]:
+    """(ident, row_key) of a row: its doc_id, for a null one a number below 0 made from the text; 32 more bits of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(text), 1)), F.hash(text)
 
 
 def occurrences(docs: DataFrame, run: int = RUN, least: int = LEAST, window: int = WINDOW, keys_only: bool = False) -> DataFrame:
-    """h1, h2 (96 bits of a run's words), doc_id, row_key, lo, hi (its sentences): every run of the texts of docs (doc_id, row_key, text)."""
+    """h1, h2 (96 bits of a run's words), ident, row_key, place: every run of the texts of docs (ident, row_key, text)."""
+    if max(run, least) >= SPAN:
+        raise ValueError(f"run and least have to be below {SPAN}")
     work = lambda batches: marks(batches, run, least, window, keys_only)
-    return docs.select("doc_id", "row_key", "text").mapInArrow(work, "h1 long" if keys_only else MARKS)
+    return docs.select("ident", "row_key", "text").mapInArrow(work, "h1 long" if keys_only else MARKS)
 
 
 def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST, window: int = WINDOW) -> DataFrame:
-    """doc_id, row_key, covered: the runs (lo, hi) of each row that are not the first of their kind in the whole table.
+    """ident, row_key, covered: the places of the runs of each row that are not the first of their kind in the whole table.
 
-    docs: doc_id, row_key, text. The first is the smallest (doc_id, row_key, sentence); a later one may stand in
+    docs: ident, row_key, text. The first is the smallest (ident, row_key, sentence); a later one may stand in
     the same text. Counts of 64-bit keys, added up in the tasks, tell the keys that come twice; only their
-    runs are kept, told apart by the other 32 bits, and each is held against its first. Both joins meet on plain
-    exchanges, so that adaptive execution splits a run that very many texts hold.
+    runs are kept, told apart by the other 32 bits. A text's repeated runs without those of them that are a
+    first are its later ones. The join meets on plain exchanges, so that adaptive execution splits a run that very
+    many texts hold; first places are added up in the tasks.
     """
     keys = occurrences(docs, run, least, window, keys_only=True)
     twice = materialise(keys.groupBy("h1").count().where("count > 1").select("h1"), "span-keys")
     hits = materialise(occurrences(docs, run, least, window).join(twice.hint("merge"), "h1", "left_semi"), "span-hits")
-    where = F.struct("doc_id", "row_key", "lo")
-    first = hits.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
-    first = materialise(first.select("h1", "h2", "first"), "span-first")
-    later = hits.join(first.hint("merge"), ["h1", "h2"]).where(~where.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("lo", "hi")).alias("covered"))
-
-
-def cut(text: str | None, covered: list | None, known: Hashes, window: int = WINDOW) -> tuple[str | None, int, int]:
-    """The text without its covered sentences (each goes with the white space after it), its sentences, and how many went."""
+    where = F.struct("ident", "row_key", "place")
+    first = hits.groupBy("h1", "h2").agg(F.min(where).alias("first")).select("first.*", F.lit(True).alias("is_first"))
+    both = hits.select("ident", "row_key", "place", F.lit(False).alias("is_first")).unionByName(first)
+    own = both.groupBy("ident", "row_key").agg(F.collect_set("place").alias("all"), F.collect_set(F.when(F.col("is_first"), F.col("place"))).alias("firsts"))
+    later = own.select("ident", "row_key", F.array_except("all", "firsts").alias("covered")).where(F.size("covered") > 0)
+    made = materialise(later, "span-covered")
+    discard(twice, hits)
+    return made
+
+
+def cut(text: str | None, lo: np.ndarray, hi: np.ndarray, known: Hashes, window: int = WINDOW) -> tuple[str | None, int, int]:
+    """The text without the sentences of the runs lo..hi (each goes with the white space after it), its sentences, and how many went."""
     if not text:
         return text, 0, 0
     b = bounds(hashes_of(words_of(text), known), window)
     n = len(b) - 1
-    if not covered or not n:
+    if not len(lo) or not n:
         return text, n, 0
-    gone = np.zeros(n, bool)
-    for c in covered:
-        gone[c["lo"] : c["hi"]] = True
-    begins = [m.start() for m in WORD.finditer(text)]
-    at = [0, *(begins[k] for k in b[1:-1].tolist()), len(text)]
-    return "".join(text[at[k] : at[k + 1]] for k in np.flatnonzero(~gone).tolist()), n, int(gone.sum())
+    deep = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
+    gone = np.cumsum(deep)[:n] > 0
+    if gone.all():
+        return "", n, n
+    whole = text if DENSE.search(text) else text.encode("utf-8", "surrogatepass")
+    turns = np.flatnonzero(np.diff(gone, prepend=True, append=True))  # where what stays begins and ends, in turns
+    at = np.concatenate((beginnings(whole), [len(whole)]))[b]
+    at[0] = 0
+    kept = [whole[i:j] for i, j in at[turns].reshape(-1, 2).tolist()]
+    return "".join(kept) if isinstance(whole, str) else b"".join(kept).decode("utf-8", "surrogatepass"), n, int(gone.sum())
+
+
+def beginnings(text: str | bytes) -> np.ndarray:
+    """Where each word begins; in bytes only white space parts words."""
+    if isinstance(text, str):
+        return np.array([m.start() for m in WORD.finditer(text)], np.int64)
+    data = np.frombuffer(text, np.uint8)
+    inside = (data != 32) & ((data < 9) | (data > 13))
+    return np.flatnonzero(inside[1:] > inside[:-1]) + 1 if not inside[0] else np.concatenate(([0], np.flatnonzero(inside[1:] > inside[:-1]) + 1))
 
 
 def dedup_spans(docs: DataFrame, run: int = RUN, least: int = LEAST, window: int = WINDOW) -> DataFrame:
     """All columns of docs with text without its repeated sentences, then n_sentences and n_removed (long).
 
     Sentences are compared by their words in lower case, whatever the white space between them. Rows and
-    repeated rows all stay; rows with equal doc_id and text are one document, a null doc_id is the smallest. A
+    repeated rows all stay; rows with equal doc_id and text are one document, rows without a doc_id come first. A
     text whose every sentence is a repeat becomes empty; a null text stays null and an empty one empty, with no
     sentences; texts without repeats are unchanged. Columns n_sentences and n_removed of docs are replaced.
     """
     columns = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row_key"), text.alias("text"))
-    ident, key, covered, made = fresh(docs, "id", "key", "covered", "made")
-    marked = repeated_spans(base, run, least, window).select(F.coalesce("doc_id", F.lit(-1)).alias(ident), F.col("row_key").alias(key), F.col("covered").alias(covered))
-    marked = materialise(marked, "span-covered")
-    keyed = docs.select(*[F.col(quoted(c)) for c in columns], F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias(ident), F.xxhash64(F.col("doc_id").cast("long"), text).alias(key))
+    ident, key, covered, made = fresh(docs, "ident", "row_key", "covered", "made")
+    one, two = identity()
+    base = docs.select(one.alias("ident"), two.alias("row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    marked = repeated_spans(base, run, least, window).toDF(ident, key, covered)
+    keyed = docs.select(*[F.col(quoted(c)) for c in columns], one.alias(ident), two.alias(key))
 
     def batch(texts: pa.Array, hits: pa.Array) -> pa.Array:
-        rows = [cut(t, c, remembered(), window) for t, c in zip(texts.to_pylist(), hits.to_pylist(), strict=True)]
+        ends = np.cumsum(hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        place = hits.flatten().to_numpy()
+        lo, hi = place // SPAN, place // SPAN + place % SPAN
+        rows = [cut(t, lo[a:b], hi[a:b], remembered(), window) for t, a, b in zip(texts.to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()))], ["text", "n_sentences", "n_removed"])
 
     cutting = F.arrow_udf(batch, "struct<text:string,n_sentences:long,n_removed:long>")
     done = keyed.join(marked.hint("merge"), [ident, key], "left").withColumn(made, cutting(F.col("text").cast("string"), F.col(covered)))
     out = [F.col(f"{made}.text").alias(c) if c.lower() == "text" else F.col(quoted(c)) for c in columns]
     return done.select(*out, f"{made}.n_sentences", f"{made}.n_removed")
-

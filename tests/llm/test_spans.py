@@ -46,6 +46,9 @@ def brute(docs, run=2, least=12):
     return {d: (len(cuts[d]) - 1, gone[d]) for d in docs}
 
 
+NONE = np.zeros(0, int)
+
+
 def made(spark, texts):
     return {r["doc_id"]: r for r in spans.dedup_spans(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()}
 
@@ -54,9 +57,9 @@ def made(spark, texts):
 def test_sentences_are_the_text(text):
     got = spans.bounds(spans.hashes_of(spans.words_of(text), spans.Hashes())).tolist()
     assert got == brute_bounds(text)
-    whole, n, gone = spans.cut(text, [], spans.Hashes())
+    whole, n, gone = spans.cut(text, NONE, NONE, spans.Hashes())
     assert whole == text and n == len(got) - 1 and gone == 0
-    kept = "".join(spans.cut(text, [{"lo": j, "hi": j + 1} for j in range(n) if j != k], spans.Hashes())[0] for k in range(n))
+    kept = "".join(spans.cut(text, np.array([j for j in range(n) if j != k], int), np.array([j + 1 for j in range(n) if j != k], int), spans.Hashes())[0] for k in range(n))
     assert kept == (text if n else "")
 
 
@@ -124,7 +127,7 @@ def test_equal_ids_null_ids_and_clashing_names(spark):
     text = "One two three four five six. Seven eight nine ten eleven twelve thirteen."
     rows = [(1, text, "a"), (1, "Other words stand here. And no more.", "b"), (None, text, "c"), (None, text, "c"), (None, "Alone here.", "d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
-    for name in ("id", "_key", "covered", "made", "_made", "row_key", "h1", "n_sentences", "N_Removed"):
+    for name in ("ident", "_key", "covered", "made", "_made", "row_key", "h1", "n_sentences", "N_Removed"):
         docs = docs.selectExpr("*", f"'x' AS {name}")
     out = spans.dedup_spans(docs)
     assert out.columns == [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")] + ["n_sentences", "n_removed"]
