@@ -142,9 +142,9 @@ class Cells:
         """(prefix, bytes, one text): texts with equal MD5 are added up in the tasks first."""
         texts = rows.groupBy("md5").agg(F.sum("size").alias("size"))
         cells = texts.groupBy(F.substring("md5", 1, digits).alias("cell")).agg(F.sum("size").alias("size"), F.min("md5").alias("least"), F.max("md5").alias("most"), F.max("size").alias("atom"))
-        found = cells.collect()
+        found = cells.select("cell", "size", "atom", F.when(F.col("least") == F.col("most"), F.col("least")).alias("only")).collect()
         self.atom = max([getattr(self, "atom", 0), *(r["atom"] for r in found)])
-        return sorted((r["least"] if r["least"] == r["most"] else r["cell"], r["size"], r["least"] == r["most"]) for r in found)
+        return sorted((r["only"] or r["cell"], r["size"], r["only"] is not None) for r in found)
 
     def divide(self, places: list[int]) -> None:
         """The cells at these places by two more digits each."""

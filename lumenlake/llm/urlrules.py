@@ -79,14 +79,15 @@ class Sweep:
         return found
 
 
-def split_points(urls: DataFrame, parts: int, sample: int) -> list[tuple]:
-    """At most parts - 1 places (key, path, page_id) that deal the urls evenly, from `sample` of them chosen by a hash."""
-    picked = urls.select("key", "path", "page_id").orderBy(F.xxhash64("page_id", "key", "path")).limit(sample).collect()
+def split_points(urls: DataFrame, parts: int, a_part: int) -> list[tuple]:
+    """At most parts - 1 places (key, path, page_id) that deal the urls evenly, from about `a_part` of them for each part."""
+    share = min(1.0, parts * a_part / max(1, urls.count()))
+    picked = urls.select("key", "path", "page_id").sample(share, 5).collect()
     order = sorted((r["key"], r["path"], -1 if r["page_id"] is None else r["page_id"]) for r in picked)
     return sorted({order[k * len(order) // parts] for k in range(1, parts)} if order else set())
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", parts: int | None = None, sample: int = 20_000) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", parts: int | None = None, a_part: int = 50) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages.
 
     rules: host, path, verdict, any number. A rule fits its host and all subdomains if the url's path starts
@@ -96,7 +97,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", parts: int
     pages are kept; a null page_id keeps its row.
 
     Urls are dealt to `parts` ranges of (key, path, page_id), so a host with very many pages is spread over tasks.
-    The ranges follow from a bounded sample, which decides the balance only. A rule goes to each range that its
+    The ranges follow from a sample of about a_part urls for each, which decides the balance only. A rule goes to each range that its
     interval of keys meets; a task sweeps the sorted rules and urls of its range and holds no more than the
     rules of the hosts around the current key.
     """
@@ -105,7 +106,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", parts: int
     host, path = host_and_path("url")
     key = lambda h: F.concat(F.array_join(F.reverse(F.split(h, r"\.")), "\x00"), F.lit("\x00"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", key(F.col("host")))
-    points = split_points(urls, parts, sample)
+    points = split_points(urls, parts, a_part)
     held = spark.createDataFrame([(points,)], "points array<struct<key:string,path:string,page_id:long>>").select(F.col("points").alias("_points"))  # one row of parts - 1 places
     own = F.struct("key", "path", F.coalesce("page_id", F.lit(-1)).alias("page_id"))
     dealt = urls.crossJoin(F.broadcast(held)).withColumn("part", F.size(F.filter("_points", lambda p: p <= own))).drop("_points")
