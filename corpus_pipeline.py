@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm import bpe, decontaminate, quality, secrets, simhash
 from lumenlake.llm.queries import VOCABULARY
-from lumenlake.sources.scratch import materialise, table
+from lumenlake.sources.scratch import discard, materialise, table
 
 #: Fitting, duplicates and candidate search have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -59,7 +59,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, f"pipeline-{k}")
+            discard(before)
     return docs

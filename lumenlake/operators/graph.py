@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.sources.scratch import materialise
+from lumenlake.sources.scratch import discard, materialise
 
 
-def _star(pairs: DataFrame, keep) -> DataFrame:
-    """Join every (node, other) with the smallest of node and its others; keep(...) picks the new edges.
+def _star(pairs: DataFrame, keep) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The new edges, and what was written on the way. Join every (node, other) with the smallest of node and its others; keep(...) picks the new edges.
 
     Both sides are written first, so that the join sees two plain scans and adaptive execution can
     split the partitions of hub nodes.
@@ -18,7 +18,7 @@ def _star(pairs: DataFrame, keep) -> DataFrame:
     low = materialise(
         pairs.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("low")), "cc-low"
     )
-    return keep(pairs.join(low, "node")).distinct()
+    return materialise(keep(pairs.join(low, "node")).distinct(), "cc"), pairs, low
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,15 +39,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         both = now.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
             now.select(F.col("b").alias("node"), F.col("a").alias("other"))
         )
-        large = _star(both, lambda j: j.where(F.col("other") > F.col("node")).select(F.col("other").alias("a"), F.col("low").alias("b")).where("a != b"))
+        large, *one = _star(both, lambda j: j.where(F.col("other") > F.col("node")).select(F.col("other").alias("a"), F.col("low").alias("b")).where("a != b"))
         down = large.select(F.col("a").alias("node"), F.col("b").alias("other"))
-        small = _star(
+        before = now
+        now, *two = _star(
             down,
             lambda j: j.select(F.col("other").alias("a"), F.col("low").alias("b"))
             .unionByName(j.select(F.col("node").alias("a"), F.col("low").alias("b")))
             .where("a != b"),
         )
-        now = materialise(small, "cc")
+        discard(before, large, *one, *two)
         last, state = state, _state(now)
         if state == last:
             roots = now.select(F.col("b").alias("node")).unionByName(alone).distinct().join(now.select(F.col("a").alias("node")), "node", "left_anti")

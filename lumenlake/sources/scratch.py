@@ -11,9 +11,11 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of this process where that is unset (local runs)."""
+    """The folder of spark.checkpoint.dir; a folder of this process where that is unset, in local runs alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         folder = _OWN.setdefault("dir", "") or tempfile.mkdtemp(prefix="spark-lumenlake-")
         _OWN["dir"] = folder
     return folder.rstrip("/")
@@ -27,7 +29,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that materialise wrote, once everything made of them is written. Others are left alone."""
+    for df in tables:
+        path = getattr(df, "__dict__", {}).get("scratch")
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
