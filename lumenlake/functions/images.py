@@ -45,21 +45,54 @@ def perceptual_hash(grey: np.ndarray) -> str:
     return hexed(low > np.median(low))
 
 
+def at_long_side(grey: np.ndarray, side: int) -> np.ndarray:
+    """The picture with its long side at `side`, by triangle weights, three pixels a side at least."""
+    shape = np.maximum(3, np.rint(np.array(grey.shape) * side / max(grey.shape)).astype(int))
+    return resized(grey, *shape.tolist(), 0)
+
+
+def curvature(grey: np.ndarray) -> float:
+    """Variance of the second differences along both sides together, at the pixels that have all four neighbours."""
+    return float((np.diff(grey, 2, axis=0)[:, 1:-1] + np.diff(grey, 2, axis=1)[1:-1]).var())
+
+
+def sampled(rgb: np.ndarray, side: int) -> np.ndarray:
+    """Every pixel, or those nearest to an even grid with `side` of them on the long side."""
+    share = min(1.0, side / max(rgb.shape[:2]))
+    for axis in (0, 1):
+        n = rgb.shape[axis]
+        kept = max(1, round(n * share))
+        rgb = rgb.take(np.floor((np.arange(kept) + 0.5) * n / kept).astype(int), axis)
+    return rgb
+
+
+def unlike_neighbours(rgb: np.ndarray) -> float:
+    """Share of neighbouring pixels that differ, the mean of both directions; none where there are no neighbours."""
+    shares = []
+    for axis in (0, 1):
+        steps = np.diff(rgb.astype(np.int16), axis=axis).any(axis=2)
+        shares.append(np.count_nonzero(steps) / max(1, steps.size))
+    return sum(shares) / 2
+
+
+def quality_of(table: np.ndarray) -> int:
+    """Quality 1 to 100 of a luminance table: how its steps add up against those of the standard table.
+
+    A sum of s percent of the standard one stands for quality (200 - s) / 2 up to 100 percent and 5000 / s above.
+    """
+    percent = 100 * float(table.sum()) / STANDARD_TABLE_SUM
+    fine = percent <= 100
+    return int(np.clip(np.rint(200 - percent) // 2 if fine else np.rint(5000 / percent), 1, 100))
+
+
 def features(rgb: np.ndarray) -> tuple:
     """pHash, dHash, pHash of the middle three fifths, sharpness at a long side of 512, share of equal neighbours at 640."""
     h, w = rgb.shape[:2]
     grey = rgb.astype(float) @ np.array([0.299, 0.587, 0.114])
     small = resized(grey, 8, 9)
-    long = 512 / max(h, w)
-    p = resized(grey, max(3, round(h * long)), max(3, round(w * long)), 0)
-    edges = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]
-    k = min(1.0, 640 / max(h, w))
-    pick = lambda n: ((np.arange(max(1, round(n * k))) + 0.5) * n / max(1, round(n * k))).astype(int)
-    near = rgb[pick(h)][:, pick(w)]
-    across, down = (near[:, 1:] == near[:, :-1]).all(axis=2), (near[1:] == near[:-1]).all(axis=2)
-    flat = sum(float(x.mean()) if x.size else 1.0 for x in (across, down)) / 2
+    flat = 1 - unlike_neighbours(sampled(rgb, 640))
     core = grey[int(h * 0.2) : max(int(h * 0.8), int(h * 0.2) + 1)]
-    return perceptual_hash(grey), hexed(small[:, :-1] > small[:, 1:]), perceptual_hash(core), round(float(edges.var()), 1), round(flat, 3)
+    return perceptual_hash(grey), hexed(small[:, :-1] > small[:, 1:]), perceptual_hash(core), round(curvature(at_long_side(grey, 512)), 1), round(flat, 3)
 
 
 def upright(rgb: np.ndarray, orientation: int) -> np.ndarray:
@@ -134,8 +167,7 @@ def camera_fields(content: bytes) -> tuple:
                 size = 128 if body[0] >> 4 else 64
                 table = np.frombuffer(body[1 : 1 + size], ">u2" if size == 128 else "u1")
                 if body[0] & 15 == 0 and len(table) == 64:
-                    scale = float(table.sum()) / STANDARD_TABLE_SUM * 100
-                    quality = max(1, min(100, round(200 - scale) // 2 if scale <= 100 else round(5000 / scale)))
+                    quality = quality_of(table)
                 body = body[1 + size :]
     said = str(inner.get(TAKEN) or fields.get(DATE) or "").split(" ")
     taken = f"{said[0].replace(':', '-')}T{said[1]}" if len(said) == 2 else None

@@ -17,9 +17,10 @@ SCREENSHOT_NAME = r"(?i)screen ?shot|screen[_-]?capture|scrnli"
 FORWARDED_NAME = r"(?i)^(IMG-\d{8}-WA\d+|WhatsApp Image|photo_\d{4}-\d{2}-\d{2}|signal-\d{4})"
 LOSSLESS = ("image/png", "image/webp", "image/bmp", "image/gif")
 RECEIPT_PARTS = ("total", "subtotal", "amount", "invoice", "receipt", "qty", "cash", "change", "gst", "tax", "bill")
-NOT_NAMES = tuple(
-    "total cash price time date open closed sale offer welcome exit entry street road this that your with from have will the and for you are not all our new get one two off per net qty".split()
-)
+NOT_NAMES = (
+    "total", "cash", "price", "time", "date", "open", "closed", "sale", "offer", "welcome", "exit", "entry", "street", "road", "this", "that", "your", "with", "from", "have",
+    "will", "the", "and", "for", "you", "are", "not", "all", "our", "new", "get", "one", "two", "off", "per", "net", "qty",
+)
 
 
 def best_scores(vector: str, sets: Sequence[np.ndarray]) -> Column:

@@ -14,7 +14,8 @@ def bursts(shots: DataFrame, seconds: int = 10, similarity: float = 0.8, bucket:
 
     shots: id, sha256, taken (timestamp), vector. The first shot of each content counts. No window spans
     the table: shots are compared inside time buckets, and each bucket's last shot and open burst are
-    carried to the next bucket that has shots over one row a bucket.
+    carried to the next bucket that has shots over one row a bucket. Those edge rows, one an hour with shots, do
+    pass through one task; all other windows are within a bucket.
     """
     first = shots.where("taken is not null and vector is not null").groupBy("sha256").agg(F.min_by(F.struct("id", "taken", "vector"), F.struct("taken", "id")).alias("s")).select("s.*")
     rows = first.withColumn("bucket", F.floor(F.col("taken").cast("timestamp").cast("long") / bucket))

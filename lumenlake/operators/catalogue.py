@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenlake.functions.text import squeeze
 from lumenlake.operators.groups import both_ends
@@ -15,8 +14,8 @@ SORTS = {
     "name": ["lower(filename)"],
     "largest": ["size desc"],
     "smallest": ["size"],
-    "taken": ["coalesce(taken_at, uploaded_at) desc"],
-    "taken_oldest": ["coalesce(taken_at, uploaded_at)"],
+    "taken_new": ["coalesce(taken_at, uploaded_at) desc"],
+    "taken_old": ["coalesce(taken_at, uploaded_at)"],
 }
 PUBLIC_DROPPED = ("phash", "dhash", "clip", "ai_worker", "ocr_search", "core_hash", "flatness")
 
@@ -192,5 +191,5 @@ def ranked_page(photos: DataFrame, ranking: DataFrame) -> DataFrame:
 
 def first_uploads(uploads: DataFrame) -> DataFrame:
     """In-batch repeats: each upload with `repeat` true if the same content came earlier in the batch."""
-    n = F.row_number().over(Window.partitionBy("sha256").orderBy("uploaded_at", "id"))
-    return uploads.withColumn("repeat", n > 1)
+    first = uploads.groupBy("sha256").agg(F.min(F.struct("uploaded_at", "id")).alias("_first"))
+    return uploads.join(first, "sha256").withColumn("repeat", F.struct("uploaded_at", "id") > F.col("_first")).drop("_first")

@@ -52,8 +52,8 @@ def duplicate_summary(groups: DataFrame, photos: DataFrame) -> DataFrame:
 
 def exact_copies_to_remove(photos: DataFrame) -> DataFrame:
     """Every upload of a content but the first."""
-    n = F.row_number().over(Window.partitionBy("sha256").orderBy("uploaded_at", "id"))
-    return photos.withColumn("_n", n).where("_n > 1").select("id", "sha256", "size")
+    first = photos.groupBy("sha256").agg(F.min(F.struct("uploaded_at", "id")).alias("first"))
+    return photos.select("id", "sha256", "size", "uploaded_at").join(first, "sha256").where(F.struct("uploaded_at", "id") > F.col("first")).select("id", "sha256", "size")
 
 
 def related_groups(photos: DataFrame, matches: DataFrame, bursts: DataFrame) -> DataFrame:

@@ -198,6 +198,26 @@ def list_photos(v, spark, sf_dir):
     return C.list_photos(v("photos"), v("matches"), v("album_photos"), kind="duplicates", start="2023-02-01", sort="largest", offset=5, limit=20)[1].select("id", "sha256", "size")
 
 
+_SORTS = {
+    "newest": "uploaded_at DESC",
+    "oldest": "uploaded_at",
+    "taken_new": "coalesce(taken_at, uploaded_at) DESC",
+    "taken_old": "coalesce(taken_at, uploaded_at)",
+    "largest": "size DESC",
+    "smallest": "size",
+    "name": "lower(filename)",
+}
+for _key, _order in _SORTS.items():
+
+    def _sorted(v, spark, sf_dir, key=_key):
+        """The third page of 20 by one sort key, with the place of each photo."""
+        rows = C.page(C.sort_photos(v("photos"), key), 40, 20).select("id")
+        return rows.withColumn("place", F.monotonically_increasing_id())  # one partition: the page is
+
+    _sorted.__name__ = f"sort_{_key}"
+    query("photos", f"SELECT id, row_number() OVER (ORDER BY n) - 1 AS place FROM (SELECT id, row_number() OVER (ORDER BY {_order}, id) AS n FROM photos) WHERE n BETWEEN 41 AND 60")(_sorted)
+
+
 @query("photos matches", "SELECT count(*) AS total FROM photos WHERE ocr_search <> '' AND substr(coalesce(taken_at, uploaded_at), 1, 10) <= '2023-06-01'")
 def list_photos_total(v, spark, sf_dir):
     return C.list_photos(v("photos"), v("matches"), v("album_photos"), kind="text", end="2023-06-01")[0]
@@ -404,6 +424,25 @@ def merge_people(v, spark, sf_dir):
     return H.merge_people(v("people"), v("faces"), ["n1-0", "n2-1", "n3-2"])[1].select("id", "person_id")
 
 
+@query(
+    "people",
+    """WITH k AS (SELECT arg_min(id, struct_pack(n := name IS NULL, c := created_at, i := id)) AS keep FROM people WHERE id IN ('n1-0', 'n2-1', 'n3-2'))
+    SELECT id, name, created_at, CASE WHEN id = keep THEN true ELSE manual END AS manual FROM people, k WHERE id NOT IN ('n1-0', 'n2-1', 'n3-2') OR id = keep""",
+)
+def merged_people(v, spark, sf_dir):
+    return H.merge_people(v("people"), v("faces"), ["n1-0", "n2-1", "n3-2"])[0].select("id", "name", "created_at", "manual")
+
+
+@query(
+    "faces people",
+    """WITH f AS (SELECT CASE WHEN person_id = 'n1-0' AND id IN ('f1', 'f21', 'f31', 'f61') THEN 'new' ELSE person_id END AS p FROM faces),
+    b AS (SELECT id, name, created_at, CASE WHEN id = 'n1-0' THEN true ELSE manual END AS manual FROM people UNION ALL SELECT 'new', NULL, '2024-02-01', true)
+    SELECT * FROM b WHERE id NOT IN ('n1-0', 'new') OR id IN (SELECT p FROM f WHERE p IS NOT NULL)""",
+)
+def split_people(v, spark, sf_dir):
+    return H.split_person(v("people"), v("faces"), "n1-0", ["f1", "f21", "f31", "f61"], "new", "2024-02-01")[0].select("id", "name", "created_at", "manual")
+
+
 @query("faces people", "SELECT id, CASE WHEN person_id = 'n1-0' AND id IN ('f3', 'f6', 'f9') THEN 'new' ELSE person_id END AS person_id FROM faces")
 def split_person(v, spark, sf_dir):
     return H.split_person(v("people"), v("faces"), "n1-0", ["f3", "f6", "f9"], "new", "2024-02-01")[1].select("id", "person_id")
@@ -432,9 +471,10 @@ def face_pairs(v, spark, sf_dir):
 # --- money --------------------------------------------------------------------------------------------
 
 _SQ = r"""regexp_replace(lower({}), '[\s\-_.,:;!?''"()/]+', '', 'g')"""
-_KEY = f"CASE WHEN coalesce({_SQ.format('shop')}, '') = '' THEN 'unknown' ELSE substr({_SQ.format('shop')}, 1, 16) END"
-_MARKED = f"""marked AS (SELECT *, CASE WHEN shop IS NULL OR date IS NULL OR total IS NULL OR f = id THEN NULL ELSE f END AS copy_of FROM (
-    SELECT *, first(id) OVER (PARTITION BY {_KEY}, date, total ORDER BY coalesce(sharpness, 0) DESC, coalesce(date, '') DESC, uploaded_at DESC, id) AS f FROM receipts))"""
+_NAME = "CASE WHEN coalesce(shop, '') = '' THEN 'Unknown shop' ELSE shop END"
+_KEY = f"CASE WHEN {_SQ.format(_NAME)} = '' THEN 'unknown' ELSE substr({_SQ.format(_NAME)}, 1, 16) END"
+_MARKED = f"""marked AS (SELECT *, CASE WHEN coalesce(shop, '') = '' OR date IS NULL OR total IS NULL OR f = id THEN NULL ELSE f END AS copy_of FROM (
+    SELECT *, first(id) OVER (PARTITION BY substr({_SQ.format('shop')}, 1, 16), date, total ORDER BY coalesce(sharpness, 0) DESC, coalesce(date, '') DESC, uploaded_at DESC, id) AS f FROM receipts))"""
 
 
 def _receipts(v):
@@ -459,8 +499,8 @@ def spending_totals(v, spark, sf_dir):
 @query(
     "receipts",
     f"""WITH {_MARKED}, k AS (SELECT *, {_KEY} AS shop_key FROM marked),
-    n AS (SELECT shop_key, arg_max(shop, struct_pack(d := coalesce(date, ''), u := uploaded_at, i := id)) AS shop, count(*) AS receipts FROM k GROUP BY shop_key),
-    s AS (SELECT shop_key, currency, sum(coalesce(total, 0)::DECIMAL(18,2))::DOUBLE AS total FROM k WHERE copy_of IS NULL GROUP BY ALL)
+    n AS (SELECT shop_key, arg_max({_NAME}, struct_pack(d := coalesce(date, ''), u := uploaded_at, i := id)) AS shop, count(*) AS receipts FROM k GROUP BY shop_key),
+    s AS (SELECT shop_key, currency, sum(total::DECIMAL(18,2))::DOUBLE AS total FROM k WHERE copy_of IS NULL AND total IS NOT NULL GROUP BY ALL)
     SELECT shop_key, currency, shop, receipts, total FROM n LEFT JOIN s USING (shop_key)""",
 )
 def spending_by_shop(v, spark, sf_dir):
@@ -470,10 +510,15 @@ def spending_by_shop(v, spark, sf_dir):
 @query(
     "receipts",
     rf"""WITH {_MARKED}, i AS (SELECT *, {_SQ.format("item")} AS key FROM marked WHERE copy_of IS NULL)
-    SELECT key, count(*) AS times, sum(item_amount::DECIMAL(18,2))::DOUBLE AS spent, max(date) AS latest FROM i GROUP BY key ORDER BY times DESC, spent DESC, key LIMIT 8""",
+    SELECT key, arg_max(currency, struct_pack(d := coalesce(date, ''), u := uploaded_at, i := id)) AS currency, count(*) AS times, sum(item_amount::DECIMAL(18,2))::DOUBLE AS spent, max(date) AS latest FROM i GROUP BY key ORDER BY times DESC, spent DESC, key LIMIT 8""",
 )
 def top_items(v, spark, sf_dir):
-    return M.top_items(_receipts(v)).select("key", "times", "spent", "latest")
+    return M.top_items(_receipts(v)).select("key", "currency", "times", "spent", "latest")
+
+
+@query("receipts", f"WITH {_MARKED} SELECT count(*) - count(copy_of) AS count, count(copy_of) AS copies FROM marked")
+def receipt_counts(v, spark, sf_dir):
+    return M.receipt_counts(_receipts(v))
 
 
 @query("deletions", "SELECT coalesce(sum(CASE WHEN duplicate THEN size END), 0)::BIGINT AS freed_bytes FROM deletions")
@@ -593,7 +638,9 @@ def shown_sizes(v, spark, sf_dir):
     "photos matches",
     _GROUPS
     + """, every AS (SELECT d.id, 1 AS rank, 'Lower-quality copy' AS reason, group_id AS keep FROM dups d JOIN photos p USING (id) JOIN photos q ON q.id = group_id WHERE place > 1 AND p.sha256 <> q.sha256
+    UNION ALL SELECT id, 2, 'Blurrier burst shot', top FROM (SELECT id, first(id) OVER (PARTITION BY substr(uploaded_at, 1, 13) ORDER BY coalesce(sharpness, 0) DESC, id) AS top FROM photos WHERE camera) WHERE id <> top
     UNION ALL SELECT id, 3, 'Very blurry', NULL FROM photos WHERE sharpness < 45
+    UNION ALL SELECT id, 5, 'Meme', NULL FROM photos WHERE filename LIKE '%.webp'
     UNION ALL SELECT id, 4, 'Screenshot', NULL FROM photos WHERE filename LIKE 'Screenshot%'
     UNION ALL SELECT id, 6, 'Forwarded image', NULL FROM photos WHERE filename LIKE 'IMG-%'),
     one AS (SELECT id, arg_min(struct_pack(rank := rank, keep := keep, reason := reason), rank) AS r FROM every GROUP BY id)
@@ -602,24 +649,39 @@ def shown_sizes(v, spark, sf_dir):
 def cleanup(v, spark, sf_dir):
     p = v("photos")
     auto = p.where("filename like 'Screenshot%'").select(F.lit("screenshots").alias("album"), "id").unionByName(p.where("filename like 'IMG-%'").select(F.lit("forwarded").alias("album"), "id"))
-    none = p.limit(0).select(F.col("id").alias("burst"), "id")
-    return B.cleanup(p, G.duplicate_groups(p, v("matches")), none, auto)
+    auto = auto.unionByName(p.where("filename like '%.webp'").select(F.lit("memes").alias("album"), "id"))
+    shots = p.where("camera").select(F.substring("uploaded_at", 1, 13).alias("burst"), "id")  # those of one hour
+    return B.cleanup(p, G.duplicate_groups(p, v("matches")), shots, auto)
 
 
 @query(
-    sql="""WITH s AS (SELECT event_id AS id, ts AS taken FROM events), o AS (SELECT *, CASE WHEN epoch(taken) - epoch(lag(taken) OVER (ORDER BY taken, id)) <= 30 THEN 0 ELSE 1 END AS opens FROM s),
+    sql="""WITH n AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT vec_id AS k, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    r AS (SELECT event_id AS id, ts AS taken, event_id // 2 % 400 AS content, event_id // 3 % n AS k FROM events, n),
+    s AS (SELECT id, taken, v FROM (SELECT *, row_number() OVER (PARTITION BY content, k ORDER BY taken, id) AS first FROM r) JOIN e USING (k) WHERE first = 1),
+    o AS (SELECT *, CASE WHEN epoch(taken) - epoch(lag(taken) OVER w) <= 600 AND list_inner_product(v, lag(v) OVER w) >= 0.1 THEN 0 ELSE 1 END AS opens FROM s WINDOW w AS (ORDER BY taken, id)),
     g AS (SELECT *, sum(opens) OVER (ORDER BY taken, id) AS k FROM o), b AS (SELECT id, first(id) OVER (PARTITION BY k ORDER BY taken, id) AS burst, count(*) OVER (PARTITION BY k) AS n FROM g)
     SELECT burst, id FROM b WHERE n > 1""",
     plain=True,
 )
 def bursts(v, spark, sf_dir):
-    """By time alone: every shot has the same vector."""
-    shots = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_id").cast("string").alias("sha256"), F.col("ts").alias("taken"), F.array(F.lit(1.0)).alias("vector"))
-    return B.bursts(shots, 30)
+    """Ten minutes and a cosine of 0.1, each shot with an embedding; shots of one content and vector count once."""
+    e = table(spark, sf_dir, "embeddings")
+    shots = table(spark, sf_dir, "events").withColumn("k", F.expr(f"event_id div 3 % {max(1, e.count())}"))
+    shots = shots.join(e.select(F.col("vec_id").alias("k"), F.col("embedding").alias("vector")), "k")
+    content = F.concat_ws(":", F.expr("event_id div 2 % 400"), "k")
+    return B.bursts(shots.select(F.col("event_id").alias("id"), content.alias("sha256"), F.col("ts").alias("taken"), "vector"), 600, 0.1)
 
 
-@query()
+@query(
+    sql=f"""WITH RECURSIVE {_H.strip()}, d AS (SELECT DISTINCT p FROM h), e AS (SELECT a.p AS a, b.p AS b FROM d a JOIN d b ON a.p <> b.p AND bit_count(xor(a.p, b.p)) <= 10),
+    reach AS (SELECT p AS node, p AS other FROM d UNION SELECT r.node, e.b FROM reach r JOIN e ON r.other = e.a),
+    comp AS (SELECT node, min(other) AS c FROM reach GROUP BY node),
+    m AS (SELECT id, c, count(*) OVER (PARTITION BY c) AS n, min(id) OVER (PARTITION BY c) AS first FROM h JOIN comp ON p = node)
+    SELECT first, id FROM m WHERE n > 1""",
+    plain=True,
+)
 def meme_groups(v, spark, sf_dir):
     """Every hashed photo as a meme, its pHash for the core hash."""
     photos = hashed_photos(spark, sf_dir).withColumn("core_hash", F.col("phash"))
-    return G.meme_groups(photos, photos.select("id"))
+    made = G.meme_groups(photos, photos.select("id"))
+    return made.join(made.groupBy("component").agg(F.min("id").alias("first")), "component").select("first", "id")
