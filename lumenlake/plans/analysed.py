@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.functions import text as X
@@ -11,6 +11,7 @@ from lumenlake.functions import vectors as V
 from lumenlake.functions.entities import explode_entities, split_words, with_entities
 from lumenlake.functions.receipts import with_receipt
 from lumenlake.operators import albums as A
+from lumenlake.operators import spending as M
 from lumenlake.operators import subjects as S
 from lumenlake.operators.edits import normalise_fixes as normalise
 from lumenlake.plans.register import query
@@ -36,15 +37,41 @@ _SHOP = "translate({}, '0123456789#', 'abcdefghij ')"
 def read_receipts(v, spark, sf_dir):
     """Receipts written out as text and read back."""
     rows = v("receipts")
+    # reading costs far more than moving the rows, so they are spread first
+    read = with_receipt(rows.select("id", _written().alias("text")).repartition("id"), "text")
+    one = F.try_element_at(F.col("receipt.items"), F.lit(1))
+    return read.select("id", "receipt.shop", "receipt.date", "receipt.total", "receipt.currency", one["name"].alias("item"), one["amount"].alias("item_amount"))
+
+
+def _written() -> Column:
+    """A row of the receipts view as the text of its photo."""
     day = F.date_format(F.col("date").cast("date"), "dd/MM/yyyy")
     shop = F.coalesce(F.expr(_SHOP.format("shop")), F.lit("Corner Store"))
     item = F.concat("item", F.lit("   "), F.format_string("%.2f", "item_amount"))
     total = F.concat(F.lit("TOTAL "), "currency", F.lit(" "), F.format_string("%.2f", "total"))
-    text = F.concat_ws("\n", shop, F.concat(F.lit("Date: "), day), item, F.when(F.col("total").isNotNull(), total))
-    # reading costs far more than moving the rows, so they are spread first
-    read = with_receipt(rows.select("id", text.alias("text")).repartition("id"), "text")
-    one = F.try_element_at(F.col("receipt.items"), F.lit(1))
-    return read.select("id", "receipt.shop", "receipt.date", "receipt.total", "receipt.currency", one["name"].alias("item"), one["amount"].alias("item_amount"))
+    return F.concat_ws("\n", shop, F.concat(F.lit("Date: "), day), item, F.when(F.col("total").isNotNull(), total))
+
+
+_FIXED = """CASE cast(regexp_extract(id, 'r([0-9]+)', 1) as bigint) % 10 WHEN 1 THEN '{"shop":"Corner Store","total":"12.5"}' WHEN 2 THEN '{"total":null}' WHEN 3 THEN '{"receipt":"false"}' WHEN 4 THEN '{"receipt":"true"}' END"""
+
+
+@query(
+    "receipts",
+    rf"""WITH u AS (SELECT id, min(shop) AS shop, min(date) AS date, min(total) AS total, min(currency) AS currency, min(sharpness) AS sharpness, min(uploaded_at) AS uploaded_at FROM receipts GROUP BY id),
+    r AS (SELECT id, sharpness, uploaded_at, cast(regexp_extract(id, 'r([0-9]+)', 1) AS bigint) % 10 AS k, total IS NOT NULL AS seen,
+        CASE WHEN total IS NOT NULL THEN coalesce({_SHOP.format("shop")}, 'Corner Store') END AS s, CASE WHEN total IS NOT NULL THEN date END AS date, total AS t, CASE WHEN total IS NOT NULL THEN currency END AS c FROM u),
+    x AS (SELECT id, sharpness, uploaded_at, date, CASE k WHEN 1 THEN 'Corner Store' ELSE s END AS shop, CASE k WHEN 1 THEN 12.5::DOUBLE WHEN 2 THEN NULL ELSE t END AS total, coalesce(c, '₹') AS currency,
+        CASE k WHEN 1 THEN 'shop,total' WHEN 2 THEN 'total' ELSE '' END AS edited FROM r WHERE k <> 3 AND (seen OR k = 4)),
+    f AS (SELECT *, first(id) OVER (PARTITION BY substr(regexp_replace(lower(shop), '[\s\-_.,:;!?''"()/]+', '', 'g'), 1, 16), date, total ORDER BY coalesce(sharpness, 0) DESC, uploaded_at DESC, id) AS kept FROM x)
+    SELECT id, shop, date, total, currency, edited, CASE WHEN shop IS NOT NULL AND date IS NOT NULL AND total IS NOT NULL AND kept <> id THEN kept END AS copy_of FROM f""",
+)
+def all_receipts(v, spark, sf_dir):
+    """Photos of receipts read, corrected, and marked where one stands on two photos."""
+    least = [F.min(c).alias(c) for c in ("shop", "date", "total", "currency", "item", "item_amount", "sharpness", "uploaded_at", "size", "filename")]
+    photos = v("receipts").groupBy("id").agg(*least)  # ids repeat in the view
+    photos = photos.withColumn("ocr_text", _written()).withColumn("receipt_fix", F.from_json(F.expr(_FIXED), "map<string,string>"))
+    made = M.all_receipts(photos.select("id", "ocr_text", "receipt_fix", "sharpness", "uploaded_at", "size", "filename").repartition("id"))
+    return made.select("id", "shop", "date", "total", "currency", F.array_join("edited", ",").alias("edited"), "copy_of")
 
 
 def _photos(spark, sf_dir) -> DataFrame:
