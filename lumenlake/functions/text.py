@@ -118,5 +118,11 @@ def format_bytes(n: Column) -> Column:
     return out
 
 
+def format_money(amount: Column, currency: str = "$") -> Column:
+    """Two decimals; an amount above zero that would show as nothing is under 0.01."""
+    small = (amount > 0) & (amount < 0.005)
+    return F.when(small, F.lit(f"under {currency}0.01")).otherwise(F.concat(F.lit(currency), F.format_string("%.2f", amount.cast("double"))))
+
+
 def to_inr(amount: Column, rate: float = 88.0) -> Column:
     return amount * F.lit(rate)

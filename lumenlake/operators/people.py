@@ -25,6 +25,20 @@ def person_photos(faces: DataFrame, photos: DataFrame, person: str | None = None
     return last.join(photos.select(F.col("id").alias("photo_id"), "uploaded_at"), "photo_id").select("person_id", "photo_id", "uploaded_at", *focus)
 
 
+def person_details(people: DataFrame, faces: DataFrame, photos: DataFrame, person: str | None = None) -> DataFrame:
+    """id, name, cover face, photos (newest first, with the focus on the person) and faces of each person, or of one.
+
+    A person's photos and faces are one row: those of one person are few beside all photos.
+    """
+    shown = person_photos(faces, photos, person).groupBy(F.col("person_id").alias("id"))
+    shown = shown.agg(F.reverse(F.array_sort(F.collect_list(F.struct("uploaded_at", "photo_id", "focus_x", "focus_y")))).alias("photos"))
+    own = faces.where("person_id is not null") if person is None else faces.where(F.col("person_id") == person)
+    seen = own.groupBy(F.col("person_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("face_id"), "photo_id", "x", "y", "w", "h"))).alias("faces"))
+    cover = cover_faces(own).select(F.col("person_id").alias("id"), F.col("face_id").alias("cover"))
+    chosen = people if person is None else people.where(F.col("id") == person)
+    return chosen.select("id", "name").join(cover, "id", "left").join(shown, "id", "left").join(seen, "id", "left")
+
+
 def merge_people(people: DataFrame, faces: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:
     """One person of the given ones: the first named by creation, else the oldest; it counts as made by hand."""
     chosen = people.where(F.col("id").isin(*ids))

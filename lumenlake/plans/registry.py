@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenlake.functions import text as X
 from lumenlake.functions import vectors as V
 from lumenlake.functions.hashes import aspect_difference
+from lumenlake.functions.receipts import explode_items as with_items
 from lumenlake.operators import bursts as B
 from lumenlake.operators import catalogue as C
 from lumenlake.operators import groups as G
@@ -415,6 +416,30 @@ def person_photos(v, spark, sf_dir):
     return H.person_photos(v("faces"), v("photos"))
 
 
+@query(
+    "people faces photos",
+    """WITH l AS (SELECT person_id, photo_id, arg_max(struct_pack(x := x, y := y, w := w, h := h), id) AS f FROM faces WHERE person_id IS NOT NULL GROUP BY ALL),
+    s AS (SELECT person_id AS id, string_agg(concat_ws('/', photo_id, round(round(f.x + f.w / 2, 3) * 1000)::BIGINT::VARCHAR), ',' ORDER BY uploaded_at DESC, photo_id DESC) AS photos FROM l JOIN photos ON photo_id = photos.id GROUP BY person_id),
+    c AS (SELECT person_id AS id, arg_min(id, struct_pack(a := -(w * h), i := id)) AS cover, string_agg(id, ',' ORDER BY id) AS faces FROM faces WHERE person_id IS NOT NULL GROUP BY person_id)
+    SELECT id, name, cover, photos, faces FROM people LEFT JOIN c USING (id) LEFT JOIN s USING (id)""",
+)
+def person_details(v, spark, sf_dir):
+    d = H.person_details(v("people"), v("faces"), v("photos"))
+    seen = F.transform("photos", lambda p: F.concat_ws("/", p["photo_id"], F.round(p["focus_x"] * 1000).cast("long").cast("string")))
+    return d.select("id", "name", "cover", F.array_join(seen, ",").alias("photos"), F.array_join(F.transform("faces", lambda f: f["face_id"]), ",").alias("faces"))
+
+
+@query("receipts", "SELECT id, item AS name, item_amount AS amount FROM receipts")
+def explode_items(v, spark, sf_dir):
+    read = v("receipts").select("id", F.struct(F.array(F.struct(F.col("item").alias("name"), F.col("item_amount").alias("amount"))).alias("items")).alias("receipt"))
+    return with_items(read, "id")
+
+
+@query("billing", "SELECT service, CASE WHEN cost > 0 AND cost < 0.005 THEN 'under $0.01' ELSE '$' || printf('%.2f', cost) END AS shown, count(*) AS n FROM billing GROUP BY ALL")
+def shown_money(v, spark, sf_dir):
+    return v("billing").groupBy("service", X.format_money(F.col("cost")).alias("shown")).agg(F.count("*").alias("n"))
+
+
 @query(
     "faces people",
     """WITH k AS (SELECT arg_min(id, struct_pack(n := name IS NULL, c := created_at, i := id)) AS keep FROM people WHERE id IN ('n1-0', 'n2-1', 'n3-2'))
