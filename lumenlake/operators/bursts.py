@@ -9,31 +9,35 @@ from pyspark.sql.window import Window
 from lumenlake.functions.vectors import dot
 
 
-def bursts(shots: DataFrame, seconds: int = 10, similarity: float = 0.8, bucket: int = 3600) -> DataFrame:
+#: Buckets a period. Periods are seven days at the usual bucket, so that even thousands of years are few rows.
+BUCKETS_A_PERIOD = 1024
+
+
+def bursts(shots: DataFrame, seconds: int = 10, similarity: float = 0.8, bucket: int = 600) -> DataFrame:
     """burst (id of its first shot), id: runs of shots at most `seconds` apart, each like the one before.
 
-    shots: id, sha256, taken (timestamp), vector. The first shot of each content counts. No window spans
-    the table: shots are compared inside time buckets, and each bucket's last shot and open burst are
-    carried to the next bucket that has shots over one row a bucket. Those edge rows, one an hour with shots, do
-    pass through one task; all other windows are within a bucket.
+    shots: id, sha256, taken (timestamp), vector. The first shot of each content counts. Shots are compared
+    inside time buckets of at least `seconds`, so that the shot before a bucket's first one is the last of the
+    bucket right before it or too far away. The open burst is carried on by bucket within periods, and over one
+    row a period between them: those few ids are all that one task sees.
     """
+    bucket = max(bucket, seconds)
     first = shots.where("taken is not null and vector is not null").groupBy("sha256").agg(F.min_by(F.struct("id", "taken", "vector"), F.struct("taken", "id")).alias("s")).select("s.*")
     rows = first.withColumn("bucket", F.floor(F.col("taken").cast("timestamp").cast("long") / bucket))
-    edge = rows.groupBy("bucket").agg(F.max_by(F.struct("taken", "id", "vector"), F.struct("taken", "id")).alias("last"))
-    # one row a bucket, numbered in ranges of buckets: the bucket before is in the range or ends the one before
-    before = edge.select((F.lead("bucket").over(Window.partitionBy(F.lit(0)).orderBy("bucket"))).alias("bucket"), F.col("last").alias("carried"))
+    edge = rows.groupBy("bucket").agg(F.max_by(F.struct("taken", "id", "vector"), F.struct("taken", "id")).alias("carried"))
     own = Window.partitionBy("bucket").orderBy("taken", "id")
-    prior = F.coalesce(F.lag(F.struct("taken", "id", "vector")).over(own), F.col("carried"))
-    rows = rows.join(before, "bucket", "left").withColumn("prior", prior).drop("carried")
+    rows = rows.join(edge.withColumn("bucket", F.col("bucket") + 1), "bucket", "left")
+    rows = rows.withColumn("prior", F.coalesce(F.lag(F.struct("taken", "id", "vector")).over(own), F.col("carried"))).drop("carried")
     near = F.col("taken").cast("timestamp").cast("double") - F.col("prior.taken").cast("timestamp").cast("double") <= seconds
     joined = F.coalesce(F.when(near, dot(F.col("vector"), F.col("prior.vector")) >= similarity), F.lit(False))
     rows = rows.withColumn("opens", F.when(~joined, F.col("id")))
-    start = F.last("opens", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("start", start)
-    open_ = rows.groupBy("bucket").agg(F.max_by("start", F.struct("taken", "id")).alias("open"))
-    running = F.last("open", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    carried = open_.select("bucket", running.alias("carry"))
-    rows = rows.join(carried, "bucket", "left").withColumn("burst", F.coalesce("start", "carry"))
+    rows = rows.withColumn("start", F.last("opens", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))).select("bucket", "id", "taken", "start")
+    ends = rows.groupBy("bucket").agg(F.max_by("start", F.struct("taken", "id")).alias("open")).withColumn("period", F.floor(F.col("bucket") / BUCKETS_A_PERIOD))
+    periods = ends.groupBy("period").agg(F.max_by("open", F.when(F.col("open").isNotNull(), F.col("bucket"))).alias("open"))
+    earlier = lambda w: F.last("open", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    periods = periods.select("period", earlier(Window.partitionBy(F.lit(0)).orderBy("period")).alias("before"))
+    carry = ends.withColumn("within", earlier(Window.partitionBy("period").orderBy("bucket"))).join(periods, "period").select("bucket", F.coalesce("within", "before").alias("carry"))
+    rows = rows.join(carry, "bucket", "left").withColumn("burst", F.coalesce("start", "carry"))
     sizes = rows.groupBy("burst").agg(F.count("*").alias("n")).where("n > 1")
     return rows.join(sizes, "burst").select("burst", "id")
 

@@ -2,55 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lumenlake.sources.scratch import discard, materialise
 
 
-def _star(pairs: DataFrame, keep) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The new edges, and what was written on the way. Join every (node, other) with the smallest of node and its others; keep(...) picks the new edges.
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The distinct edges as a written table, and a digest of the set, taken while it is written."""
+    seen = Observation()
+    made = materialise(edges.distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "cc")
+    return made, (seen.get["n"], seen.get["sum"])
 
-    Both sides are written first, so that the join sees two plain scans and adaptive execution can
-    split the partitions of hub nodes.
-    """
-    pairs = materialise(pairs, "cc-pairs")
-    low = materialise(
-        pairs.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("low")), "cc-low"
-    )
-    return materialise(keep(pairs.join(low, "node")).distinct(), "cc"), pairs, low
 
+def _star(pairs: DataFrame, edges: Column) -> tuple[DataFrame, tuple]:
+    """Edges (a, b) made from every (node, other) and the smallest of node and its others, low.
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    low is written first, so that the join sees two plain scans and adaptive execution can split the
+    partitions of hub nodes.
+    """
+    low = materialise(pairs.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("low")), "cc-low")
+    made = _written(pairs.join(low, "node").select(F.explode(edges).alias("e")).select("e.*").where("a != b"))
+    discard(low)
+    return made
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node on an edge; component is the smallest node reachable.
 
     Self-loops and repeated edges are allowed; edges with a null end are ignored. Nodes only need an
-    order, so ids may be integers or strings. Raises if max_rounds do not suffice.
+    order, so ids may be integers or strings. Settled when a large and a small star in a row change
+    nothing. Raises if max_rounds do not suffice.
     """
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    alone = ends.where(F.col("a") == F.col("b")).select(F.col("a").alias("node")).distinct()
-    now = materialise(ends.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    state = _state(now)
-    for _ in range(max_rounds):
-        both = now.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
-            now.select(F.col("b").alias("node"), F.col("a").alias("other"))
-        )
-        large, *one = _star(both, lambda j: j.where(F.col("other") > F.col("node")).select(F.col("other").alias("a"), F.col("low").alias("b")).where("a != b"))
-        down = large.select(F.col("a").alias("node"), F.col("b").alias("other"))
-        before = now
-        now, *two = _star(
-            down,
-            lambda j: j.select(F.col("other").alias("a"), F.col("low").alias("b"))
-            .unionByName(j.select(F.col("node").alias("a"), F.col("low").alias("b")))
-            .where("a != b"),
-        )
-        discard(before, large, *one, *two)
-        last, state = state, _state(now)
-        if state == last:
+    given, state = _written(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    alone = given.where("a = b").select(F.col("a").alias("node"))
+    now = given.where("a <> b")
+    edge = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    larger = F.when(F.col("other") > F.col("node"), F.array(edge("other", "low")))
+    smaller = F.array(edge("other", "low"), edge("node", "low"))
+    quiet = 0
+    for step in range(2 * max_rounds):
+        down = now.select(F.col("a").alias("node"), F.col("b").alias("other"))
+        up = now.select(F.col("b").alias("node"), F.col("a").alias("other"))
+        made, found = _star(down, smaller) if step % 2 else _star(down.unionByName(up), larger)
+        discard(now)
+        quiet = quiet + 1 if found == state else 0
+        now, state = made, found
+        if quiet == 2 or not state[0]:
             roots = now.select(F.col("b").alias("node")).unionByName(alone).distinct().join(now.select(F.col("a").alias("node")), "node", "left_anti")
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lumenlake.operators.graph import connected_components
 from lumenlake.operators.pairs import band_pairs
+from lumenlake.sources.scratch import materialise
 
 
 def both_ends(matches: DataFrame) -> DataFrame:
@@ -16,32 +17,46 @@ def both_ends(matches: DataFrame) -> DataFrame:
     return a.unionByName(matches.select(F.col("photo_b").alias("node"), F.col("photo_a").alias("other"), "kind", "similarity"))
 
 
+def of_two_or_more(member: DataFrame) -> DataFrame:
+    """Rows whose component has another row."""
+    return member.join(member.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi")
+
+
 def duplicate_groups(photos: DataFrame, matches: DataFrame) -> DataFrame:
     """group_id (its best copy), id, place, relation, similarity, extra_bytes, sharpest, for every photo with a copy.
 
     Best copy: most pixels, then bytes, then the earliest upload, then id. relation is keep, exact (the
     content stands earlier in the group) or similar (with its similarity to the kept copy, else its best).
     extra_bytes: all bytes of the group but the kept copy's. sharpest: the group's clearly sharpest photo.
+    Rows are ranged by group and order, so that a large group is many sorted cells; no window holds a group's rows.
     """
     edges = matches.where(F.col("kind").isin("exact", "similar"))
     member = connected_components(edges, "photo_a", "photo_b")
     rows = photos.join(member.withColumnRenamed("node", "id"), "id")
-    order = [(F.col("width").cast("long") * F.col("height")).desc(), F.col("size").desc(), "uploaded_at", "id"]
-    group, same = Window.partitionBy("component"), Window.partitionBy("component", "sha256")
-    rows = rows.withColumn("place", F.row_number().over(group.orderBy(*order))).withColumn("again", F.row_number().over(same.orderBy(*order)) > 1)
-    rows = rows.withColumn("group_id", F.first("id").over(group.orderBy("place")))
-    rows = rows.withColumn("extra_bytes", F.sum("size").over(group) - F.first("size").over(group.orderBy("place")))
+    order = [F.col("component"), (F.col("width").cast("long") * F.col("height")).desc(), F.col("size").desc(), F.col("uploaded_at"), F.col("id")]
+    rows = rows.select("component", "id", "sha256", "size", "sharpness", "width", "height", "uploaded_at")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    rows = materialise(rows.drop("width", "height", "uploaded_at"), "duplicate-groups").withColumn("cell", F.shiftright("at", 33))
+    # a place is the distance from the group's first row in the row's own sorted cell, and the group's rows in cells before
+    starts = rows.groupBy("component", "cell").agg(F.min("at").alias("start"), F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("component").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    starts = starts.select("component", "cell", (F.coalesce(earlier, F.lit(0)) + 1 - F.col("start")).alias("shift"))
     clear = F.when(F.col("sharpness") > 0, F.col("sharpness"))
-    rows = rows.withColumn("_max", F.max(clear).over(group)).withColumn("_min", F.min(clear).over(group)).withColumn("_n", F.count(clear).over(group))
-    first_sharp = F.row_number().over(group.orderBy(F.coalesce(clear, F.lit(-1.0)).desc(), "place"))
-    rows = rows.withColumn("sharpest", (first_sharp == 1) & (F.col("_n") >= 2) & (F.col("_max") >= 1.15 * F.col("_min")))
-    ends = both_ends(edges)
-    best = ends.groupBy("node").agg(F.max("similarity").alias("best")).withColumnRenamed("node", "id")
-    direct = ends.groupBy("node", "other").agg(F.max("similarity").alias("direct")).select(F.col("node").alias("id"), F.col("other").alias("group_id"), "direct")
-    rows = rows.join(best, "id", "left").join(direct, ["id", "group_id"], "left")
+    facts = rows.groupBy("component").agg(
+        F.min_by("id", "at").alias("group_id"),
+        (F.sum("size") - F.min_by("size", "at")).alias("extra_bytes"),
+        F.when((F.count(clear) >= 2) & (F.max(clear) >= 1.15 * F.min(clear)), F.max_by("id", F.struct(F.coalesce(clear, F.lit(-1.0)), -F.col("at")))).alias("clearest"),
+    )
+    first = rows.groupBy("component", "sha256").agg(F.min_by("id", "at").alias("id")).select("id", F.lit(False).alias("again"))
+    facts = materialise(facts, "duplicate-facts")
+    kept = rows.select(F.col("id").alias("node"), "component").join(facts.select("component", "group_id"), "component").drop("component")
+    direct = F.when(F.col("other") == F.col("group_id"), F.col("similarity"))
+    links = both_ends(edges).join(kept, "node").groupBy(F.col("node").alias("id")).agg(F.max("similarity").alias("best"), F.max(direct).alias("direct"))
+    rows = rows.join(starts, ["component", "cell"]).withColumn("place", F.col("at") + F.col("shift")).join(facts, "component")
+    rows = rows.join(first, "id", "left").join(links, "id", "left").withColumn("again", F.coalesce("again", F.lit(True)))
     relation = F.when(F.col("place") == 1, "keep").when(F.col("again"), "exact").otherwise("similar")
     similarity = F.when((F.col("place") == 1) | F.col("again"), 1.0).otherwise(F.coalesce("direct", "best"))
-    return rows.select("group_id", "id", F.col("place").cast("long").alias("place"), relation.alias("relation"), similarity.alias("similarity"), "extra_bytes", F.coalesce("sharpest", F.lit(False)).alias("sharpest"))
+    return rows.select("group_id", "id", F.col("place").cast("long").alias("place"), relation.alias("relation"), similarity.alias("similarity"), "extra_bytes", F.coalesce(F.col("id") == F.col("clearest"), F.lit(False)).alias("sharpest"))
 
 
 def duplicate_summary(groups: DataFrame, photos: DataFrame) -> DataFrame:
@@ -62,7 +77,7 @@ def related_groups(photos: DataFrame, matches: DataFrame, bursts: DataFrame) ->
     member = connected_components(edges, "photo_a", "photo_b").withColumnRenamed("node", "id")
     member = member.join(bursts.select("id").distinct(), "id", "left_anti").join(photos.select("id"), "id", "left_semi")
     best = both_ends(edges).groupBy("node").agg(F.max("similarity").alias("similarity")).withColumnRenamed("node", "id")
-    member = member.withColumn("n", F.count("*").over(Window.partitionBy("component"))).where("n > 1").drop("n")
+    member = of_two_or_more(member)
     return member.join(best, "id").select("component", "id", "similarity")
 
 
@@ -72,4 +87,4 @@ def meme_groups(photos: DataFrame, memes: DataFrame, distance: int = 10) -> Data
     near = band_pairs(own.select("h").distinct(), distance)
     member = own.join(connected_components(near).withColumnRenamed("node", "h"), "h", "left")
     member = member.select("id", F.coalesce("component", "h").alias("component"))
-    return member.withColumn("n", F.count("*").over(Window.partitionBy("component"))).where("n > 1").drop("n")
+    return of_two_or_more(member)
