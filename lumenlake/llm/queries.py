@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import bpe, decontaminate, html, passages, quality, secrets, sharding, simhash, spans, toxicity, urlrules
+from lumenlake.llm import bpe, decontaminate, html, passages, pieces, quality, secrets, sharding, simhash, spans, toxicity, urlrules
 from lumenlake.sources.scratch import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PIECE_MODEL = "piece_bpe_32k.model"
 #: The rules of op9 (fixed values): host, path, verdict.
 URL_RULES = (
     ("com", "/en/", "block"),
@@ -74,6 +75,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document as digests; null texts are empty ones."""
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,6 +94,7 @@ QUERIES = {
         op8_decontamination,
         op9_url_rules,
         op10_bpe,
+        op13_sentencepiece,
     )
 }
 
