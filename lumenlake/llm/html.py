@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -17,7 +18,7 @@ from lumenlake.llm.samples import within
 
 # Element names by their role in HTML, and words of class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template textarea annotation annotation-xml iframe canvas".split())
+RAW = frozenset("script style template textarea iframe canvas".split())
 TO_THE_END = frozenset(["script", "style"])  # without a closing tag, the rest of the page belongs to them
 BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -34,6 +35,7 @@ CLOSED_BY = {  # an open element that the start of another one ends
     "option": frozenset(["option"]),
     "head": frozenset(["body"]),
 }
+CLOSES = {name: [held for held, by in CLOSED_BY.items() if name in by] for name in sorted(frozenset().union(*CLOSED_BY.values()))}
 STAYS_OPEN_IN = {"li": frozenset(["ul", "ol", "menu"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "tr": frozenset(["table"])}
 GOOD_TAGS = frozenset(["article", "main"])
 BAD_TAGS = frozenset("nav header footer aside form head title button select dialog menu".split())
@@ -51,18 +53,58 @@ ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 HEADING = re.compile(r"h[1-6]$")
 
 
+class Path:
+    """The marks (tags with their classes) of an element and of all around it, held as a step from the path around it."""
+
+    __slots__ = ("outer", "marks", "size")
+
+    def __init__(self, outer: Path | None, marks: tuple[str, ...]):
+        self.outer, self.marks = outer, marks
+        self.size = len(marks) + (outer.size if outer else 0)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __iter__(self) -> Iterator[str]:
+        steps, at = [], self
+        while at is not None:
+            steps.append(at.marks)
+            at = at.outer
+        return (t for marks in reversed(steps) for t in marks)
+
+    def last(self, n: int) -> tuple[str, ...]:
+        held, at = (), self
+        while at is not None and len(held) < n:
+            held, at = (*at.marks, *held), at.outer
+        return held[-n:]
+
+
+class Paths(dict):
+    """(path, marks) -> the path one step further in, the same object whenever it is asked for."""
+
+    def __missing__(self, key: tuple[Path, tuple[str, ...]]) -> Path:
+        made = self[key] = Path(*key)
+        return made
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: Path | tuple[str, ...]
     text: str
     linked: float = 0.0
 
 
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order: the path of tags (with their classes) and the text with single spaces."""
-    page = page or ""
+def blocks(page: str | None, paths: Paths | None = None) -> list[Block]:
+    """Leaf blocks in page order: the path of tags (with their classes) and the text with single spaces.
+
+    Paths share what they have in common, and the open elements of each name are kept, so that the work is in
+    proportion to the page, however many elements are left open. paths: to share between pages.
+    """
+    page, paths = page or "", Paths() if paths is None else paths
+    top = paths[None, ()]
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path]] = []
+    opened: dict[str, list[int]] = {}  # places in the stack by name
     parts: list[str] = []
     unclosed: set[str] = set()
     linked = 0
@@ -71,10 +113,17 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(tuple(t for _, marks in stack for t in marks), text, min(1.0, linked / len(text))))
+            out.append(Block(stack[-1][1] if stack else top, text, min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
+    def close(k: int) -> None:
+        while len(stack) > k:
+            opened[stack.pop()[0]].pop()
+
+    def innermost(names: Iterable[str]) -> int:
+        return max((opened[n][-1] for n in names if opened.get(n)), default=-1)
+
     at = 0
     while at < len(page):
         m = MARKUP.search(page, at)
@@ -92,10 +141,8 @@ def blocks(page: str | None) -> list[Block]:
         if m["close"]:
             if name in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if (k := innermost([name])) >= 0:
+                close(k)
             continue
         if name == "br":
             parts.append(" ")
@@ -113,23 +160,19 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if name in BLOCK:
             flush()
-        for k in range(len(stack) - 1, -1, -1):
-            held = stack[k][0]
-            if name in CLOSED_BY.get(held, ()):
-                del stack[k:]
-                break
-            if held in STAYS_OPEN_IN.get(name, ()):
-                break
+        if (k := innermost(CLOSES.get(name, ()))) > innermost(STAYS_OPEN_IN.get(name, ())):
+            close(k)
         if name not in VOID and not m["rest"].endswith("/"):
             marks = [name]
             for values in ATTRIBUTE.findall(m["rest"]):
                 marks += [f".{w}" for w in "".join(values).lower().split()]
-            stack.append((name, tuple(marks)))
+            opened.setdefault(name, []).append(len(stack))
+            stack.append((name, paths[stack[-1][1] if stack else top, tuple(marks)]))
     flush()
     return out
 
 
-def weak_label(path: tuple[str, ...]) -> int | None:
+def weak_label(path: Path | tuple[str, ...]) -> int | None:
     """1 inside an article or main element and outside what is marked as extra; None if the page must tell."""
     bad = any(t in BAD_TAGS or t.lstrip(".") in BAD_WORDS for t in path if t in BAD_TAGS or t[0] == ".")
     return int(not bad and any(t in GOOD_TAGS for t in path))
@@ -139,10 +182,13 @@ PATH_ROWS, WORD_ROWS, PATH_DIM, WORD_DIM, HIDDEN, PLAIN = 1 << 12, 1 << 13, 12,
 X_DIM = PATH_DIM + WORD_DIM + PLAIN
 
 
+def _row(mark: str) -> int:
+    return crc32(mark.encode("utf-8", "surrogatepass")) % PATH_ROWS
+
+
 def path_rows(path: tuple[str, ...]) -> np.ndarray:
     """Each mark of the path, and its last two together."""
-    marks = [*path, "/".join(path[-2:])]
-    return np.array([crc32(t.encode("utf-8", "surrogatepass")) % PATH_ROWS for t in marks], dtype=np.int64)
+    return np.array([_row(t) for t in [*path, "/".join(path[-2:])]], dtype=np.int64)
 
 
 def word_rows(text: str) -> np.ndarray:
@@ -169,11 +215,7 @@ class Labeller:
         """(blocks, X_DIM); seen keeps the vectors of paths, which repeat from page to page."""
         x = np.zeros((len(page), X_DIM))
         seen = {} if seen is None else seen
-        marks = []
-        for b in page:
-            if b.path not in seen:
-                seen[b.path] = (self.p["path"][path_rows(b.path)].sum(0), float(any(HEADING.match(t) for t in b.path[-3:])))
-            marks.append(seen[b.path])
+        marks = [self.placed(b.path, seen) for b in page]
         x[:, :PATH_DIM] = [m[0] for m in marks]
         split = [b.text.lower().encode("utf-8", "surrogatepass").split() for b in page]  # never empty: a block has text
         sizes = np.array([len(w) for w in split])
@@ -183,6 +225,29 @@ class Labeller:
         x[:, -PLAIN] = np.log1p(x[:, -PLAIN]) / 6
         return x
 
+    def placed(self, path: Path | tuple[str, ...], seen: dict) -> tuple[np.ndarray, float]:
+        """The summed vectors of a path's marks and of its last two together, and whether a heading is among its last three."""
+        if path not in seen:
+            if isinstance(path, tuple):
+                seen[path] = self.p["path"][path_rows(path)].sum(0), float(any(HEADING.match(t) for t in path[-3:]))
+            else:
+                both = self.p["path"][_row("/".join(path.last(2)))]
+                seen[path] = self.summed(path, seen) + both, float(any(HEADING.match(t) for t in path.last(3)))
+        return seen[path]
+
+    def summed(self, path: Path, seen: dict) -> np.ndarray:
+        """The sum of the vectors of a path's marks, from that of the nearest path around it that is known."""
+        steps, at = [], path
+        while at is not None and (at, "sum") not in seen:
+            steps.append(at)
+            at = at.outer
+        total = np.zeros(PATH_DIM) if at is None else seen[at, "sum"]
+        for step in reversed(steps):
+            for mark in step.marks:
+                total = total + self.p["path"][_row(mark)]
+            seen[step, "sum"] = total
+        return total
+
     def run(self, x: np.ndarray, way: str, keep: list | None = None) -> np.ndarray:
         """States over time of a (time, pages, X_DIM) batch that is read in the given order."""
         w, c = self.p[f"w{way}"], self.p[f"c{way}"]
@@ -191,7 +256,7 @@ class Labeller:
         ahead, out = x @ w[:X_DIM] + c, np.empty((*x.shape[:2], HIDDEN), x.dtype)
         for t in range(len(x)):
             z = ahead[t] + h @ w[X_DIM:]
-            gates = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
+            gates = 1 / (1 + np.exp(-np.maximum(z[:, : 3 * HIDDEN], -80)))
             i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
             g = np.tanh(z[:, 3 * HIDDEN :])
             if keep is not None:
@@ -291,13 +356,19 @@ def varied(page: list[Block], y: list[int], rng: random.Random) -> tuple[list[Bl
     return page, np.array(y, dtype=float)
 
 
-def fit(pages: list[str], epochs: int = 6, rate: float = 0.1) -> Labeller:
-    """Train on pages whose own markup names the main part (an article or main element); others teach nothing."""
+def fit(pages: list[str], epochs: int = 6, rate: float = 0.1, marks: int = 500_000) -> Labeller:
+    """Train on pages whose own markup names the main part (an article or main element); others teach nothing.
+
+    marks: pages whose paths hold more marks together (thousands of elements left open) are left out of fitting.
+    """
     net, rng = Labeller(), random.Random(9)
     acc = {k: np.full_like(v, 1e-2) for k, v in net.p.items()}
     known = []
     for page in pages:
         b = blocks(page)
+        if sum(len(x.path) for x in b) > marks:
+            continue
+        b = [Block(tuple(x.path), x.text, x.linked) for x in b]
         y = [weak_label(x.path) for x in b]
         if any(y):
             known.append((b, y))
@@ -335,7 +406,8 @@ def extract(pages: DataFrame, net: Labeller, threshold: float = 0.5) -> DataFram
     def run(batch: pd.Series) -> pd.Series:
         out: list[str] = []
         for at in range(0, len(batch), 256):
-            parsed = [blocks(p) for p in batch.iloc[at : at + 256]]
+            paths = Paths()
+            parsed = [blocks(p, paths) for p in batch.iloc[at : at + 256]]
             scored = sent.value.scores(parsed)
             out += ["\n".join(b.text for b, s in zip(p, q, strict=True) if s >= threshold) for p, q in zip(parsed, scored, strict=True)]
         return pd.Series(out, dtype=object)

@@ -105,31 +105,45 @@ def _found(text: Column, pattern: str, kind: int, accept=None) -> Column:
     return F.transform(made, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
+#: Counts of characters kept in one number, and the bits of each: windows are of 62 characters at most.
+A_CELL, BITS = 8, 6
+
+
 def window_entropy(word: Column, window: int = WINDOW) -> Column:
     """Largest Shannon entropy (bits a character) of any `window` characters of word; null if it is shorter.
 
-    Counts are kept by character; a step adds the character that enters and takes the one that leaves, and
-    the sum of n log n changes by those two terms alone.
+    The word becomes an array of characters once. Counts are kept by character, eight in a number; a step adds the
+    character that enters and takes the one that leaves, and the sum of n log n changes by those two terms alone, so
+    a step costs the same wherever it is.
     """
     term = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)])
-    at = lambda k: F.instr(F.lit(ALPHABET), F.substr(word, k, F.lit(1)))
     cost = lambda n: F.element_at(term, n + 1)
-    n_chars = F.length(word)
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("least"))
-
-    def step(state: Column, k: Column) -> Column:
-        new, old = at(k), F.when(k > window, at(k - window)).otherwise(F.lit(0))
-        counts = state["counts"]
-        have_new = F.element_at(counts, new)
-        after_new = state["sum"] + cost(have_new + 1) - cost(have_new)
-        have_old = F.when(old > 0, F.element_at(counts, F.greatest(old, F.lit(1))) + F.when(old == new, 1).otherwise(0)).otherwise(F.lit(0))
-        total = F.when(old > 0, after_new + cost(F.greatest(have_old - 1, F.lit(0))) - cost(have_old)).otherwise(after_new)
-        moved = F.transform(counts, lambda c, i: c + F.when(i + 1 == new, 1).otherwise(0) - F.when(i + 1 == old, 1).otherwise(0))
-        least = F.when(k >= window, F.least(state["least"], total)).otherwise(state["least"])
-        return F.struct(moved.alias("counts"), total.alias("sum"), least.alias("least"))
-
-    folded = F.aggregate(F.sequence(F.lit(1), n_chars), start, step, lambda s: F.lit(math.log2(window)) - s["least"] / window)
-    return F.when(n_chars >= window, folded)
+    cell = lambda c: F.shiftright(c, 3)
+    shift = lambda c: c.bitwiseAND(F.lit(A_CELL - 1)) * BITS
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), shift(c))
+    count = lambda counts, c: F.call_function("shiftright", F.element_at(counts, cell(c) + 1), shift(c)).bitwiseAND(F.lit(2**BITS - 1)).cast("int")
+    zero = F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // A_CELL))
+    start = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("least"))
+
+    def most(codes: Column) -> Column:
+        def enter(state: Column, new: Column) -> Column:
+            have = count(state["counts"], new)
+            counts = F.transform(state["counts"], lambda c, i: c + F.when(i == cell(new), one(new)).otherwise(0))
+            return F.struct(counts.alias("counts"), (state["sum"] + cost(have + 1) - cost(have)).alias("sum"), state["least"].alias("least"))
+
+        def move(state: Column, k: Column) -> Column:
+            new, old = F.element_at(codes, k), F.element_at(codes, k - window)
+            have, had = count(state["counts"], new), count(state["counts"], old)
+            counts = F.transform(state["counts"], lambda c, i: c + F.when(i == cell(new), one(new)).otherwise(0) - F.when(i == cell(old), one(old)).otherwise(0))
+            total = F.when(new == old, state["sum"]).otherwise(state["sum"] + cost(have + 1) - cost(have) + cost(had - 1) - cost(had))
+            return F.struct(counts.alias("counts"), total.alias("sum"), F.least(state["least"], total).alias("least"))
+
+        first = F.aggregate(F.slice(codes, 1, window), start, enter, lambda s: s.withField("least", s["sum"]))
+        rest = F.filter(F.sequence(F.lit(window), F.size(codes)), lambda k: k > window)
+        return F.aggregate(rest, first, move, lambda s: F.lit(math.log2(window)) - s["least"] / window)
+
+    codes = F.transform(F.split(word, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return F.when(F.length(word) >= window, _let(codes, most))
 
 
 def _suspicious(word: Column) -> Column:

@@ -28,8 +28,8 @@ UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
 WORD = re.compile(rf"[{UNSPACED}]|[^\x09-\x0D {UNSPACED}]+")
 DENSE = re.compile(rf"[{UNSPACED}]")
 CLOSING = re.compile(r"""[.!?。！？]["')\]”’»]*$""")
-MARKS = "h1 long, h2 int, ident long, row_key int, place int"
-SCHEMA = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("ident", pa.int64()), ("row_key", pa.int32()), ("place", pa.int32())])
+MARKS = "h1 long, h2 int, ident long, row_key int, place long"
+SCHEMA = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("ident", pa.int64()), ("row_key", pa.int32()), ("place", pa.int64())])
 #: A place is a run's first sentence times this, and its number of sentences.
 SPAN = 64
 BASE, OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -131,7 +131,7 @@ def marks(batches: Iterable[pa.RecordBatch], run: int, least: int, window: int,
             continue
         of = pa.array(np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]))
         h2 = pa.array((np.concatenate([p[2] for p in parts]) >> np.uint64(32)).astype(np.uint32).view(np.int32))
-        place = pa.array(np.concatenate([p[3] for p in parts]).astype(np.int32))
+        place = pa.array(np.concatenate([p[3] for p in parts]).astype(np.int64))
         yield pa.RecordBatch.from_arrays([h1, h2, batch.column(0).take(of), batch.column(1).take(of), place], schema=SCHEMA)
 
 
