@@ -112,8 +112,8 @@ def runs(h: np.ndarray, run: int, least: int, window: int) -> tuple[np.ndarray,
     return lo, hi, b[lo], b[hi]
 
 
-def marks(batches: Iterable[pa.RecordBatch], run: int, least: int, window: int, keys_only: bool) -> Iterator[pa.RecordBatch]:
-    """ident, row_key, text to a row for each run; of keys_only h1 alone."""
+def marks(batches: Iterable[pa.RecordBatch], run: int, least: int, window: int) -> Iterator[pa.RecordBatch]:
+    """ident, row_key, text to a row for each run."""
     known = remembered()
     for batch in batches:
         parts = []
@@ -122,13 +122,10 @@ def marks(batches: Iterable[pa.RecordBatch], run: int, least: int, window: int,
             lo, hi, first, end = runs(h, run, least, window)
             if len(lo):
                 h1 = between(h, first, end, BASE)
-                parts.append((row, h1, None if keys_only else between(mix(h ^ np.uint64(OTHER)), first, end, BASE), lo * SPAN + (hi - lo)))
+                parts.append((row, h1, between(mix(h ^ np.uint64(OTHER)), first, end, BASE), lo * SPAN + (hi - lo)))
         if not parts:
             continue
         h1 = pa.array(np.concatenate([p[1] for p in parts]).view(np.int64))
-        if keys_only:
-            yield pa.RecordBatch.from_arrays([h1], names=["h1"])
-            continue
         of = pa.array(np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]))
         h2 = pa.array((np.concatenate([p[2] for p in parts]) >> np.uint64(32)).astype(np.uint32).view(np.int32))
         place = pa.array(np.concatenate([p[3] for p in parts]).astype(np.int64))
@@ -141,12 +138,12 @@ def identity() -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(text), 1)), F.hash(text)
 
 
-def occurrences(docs: DataFrame, run: int = RUN, least: int = LEAST, window: int = WINDOW, keys_only: bool = False) -> DataFrame:
+def occurrences(docs: DataFrame, run: int = RUN, least: int = LEAST, window: int = WINDOW) -> DataFrame:
     """h1, h2 (96 bits of a run's words), ident, row_key, place: every run of the texts of docs (ident, row_key, text)."""
     if max(run, least) >= SPAN:
         raise ValueError(f"run and least have to be below {SPAN}")
-    work = lambda batches: marks(batches, run, least, window, keys_only)
-    return docs.select("ident", "row_key", "text").mapInArrow(work, "h1 long" if keys_only else MARKS)
+    work = lambda batches: marks(batches, run, least, window)
+    return docs.select("ident", "row_key", "text").mapInArrow(work, MARKS)
 
 
 def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST, window: int = WINDOW) -> DataFrame:
@@ -158,9 +155,10 @@ def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST, window:
     first are its later ones. The join meets on plain exchanges, so that adaptive execution splits a run that very
     many texts hold; first places are added up in the tasks.
     """
-    keys = occurrences(docs, run, least, window, keys_only=True)
-    twice = materialise(keys.groupBy("h1").count().where("count > 1").select("h1"), "span-keys")
-    hits = materialise(occurrences(docs, run, least, window).join(twice.hint("merge"), "h1", "left_semi"), "span-hits")
+    every = materialise(occurrences(docs, run, least, window), "span-runs")  # texts are cut and hashed once
+    twice = materialise(every.groupBy("h1").count().where("count > 1").select("h1"), "span-keys")
+    hits = materialise(every.join(twice.hint("merge"), "h1", "left_semi"), "span-hits")
+    discard(every)
     where = F.struct("ident", "row_key", "place")
     first = hits.groupBy("h1", "h2").agg(F.min(where).alias("first")).select("first.*", F.lit(True).alias("is_first"))
     both = hits.select("ident", "row_key", "place", F.lit(False).alias("is_first")).unionByName(first)

@@ -27,8 +27,8 @@ def test_window_entropy(spark):
 
 def test_one_long_candidate(spark):
     rng = random.Random(2)
-    blob = "".join(rng.choices(secrets.ALPHABET[:62], k=1_000_000))
-    dull = "ab" * 100_000
+    blob = "".join(rng.choices("ghjkmnpqGHJKMNPQ01234", k=1_000_000))
+    dull = "gh" * 100_000
     docs = spark.createDataFrame([(1, f"see {blob} end"), (2, f"see {dull} end")], "doc_id long, text string")
     began = time.time()
     found = {r["doc_id"]: r["spans"] for r in secrets.report(docs).collect()}
@@ -69,6 +69,6 @@ def test_places_beyond_32_bits(monkeypatch):
     monkeypatch.setattr(spans, "SPAN", 1 << 28)
     text = " ".join(f"word{k} ends." for k in range(40))
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0], pa.int32()), pa.array([text])], ["ident", "row_key", "text"])
-    (made,) = spans.marks([batch], spans.RUN, spans.LEAST, spans.WINDOW, False)
+    (made,) = spans.marks([batch], spans.RUN, spans.LEAST, spans.WINDOW)
     places = made.column("place").to_numpy()
     assert (places > 0).all() and places.max() > 2**32 and (np.diff(places >> 28) == 1).all()
