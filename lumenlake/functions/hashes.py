@@ -11,6 +11,16 @@ def halves(h: Column) -> tuple[Column, Column]:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.conv(F.substring(h, 9, 8), 16, 10).cast("long")
 
 
+def whole(h: Column) -> Column:
+    """All 64 bits as a long, the highest one as its sign."""
+    up, low = halves(h)
+    return F.shiftleft(up, 32).bitwiseOR(low)
+
+
+def hex_of(x: Column) -> Column:
+    return F.lpad(F.lower(F.hex(x)), 16, "0")
+
+
 def hash_distance(a: Column, b: Column) -> Column:
     (a1, a2), (b1, b2) = halves(a), halves(b)
     return F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2))

@@ -7,8 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.sources.scratch import materialise
-
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
@@ -36,70 +34,8 @@ def encode_vectors(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.pandas_udf(run, "binary")(F.col(col)))
 
 
-def _angles(rows: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def angles(rows: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Angle of every row to every pivot, and the rows' lengths; a zero row or pivot is at a right angle to all."""
     size = np.linalg.norm(rows, axis=1)
     both = np.outer(size, np.linalg.norm(pivots, axis=1))
     return np.arccos(np.clip(rows @ pivots.T / np.where(both > 0, both, 1.0), -1, 1)), size
-
-
-def close_pairs(df: DataFrame, threshold: float, key: str = "id", vector: str = "vector", group: str | None = None, rows_a_block: int = 2048, pivots: int = 1024) -> DataFrame:
-    """a, b, similarity: vectors with an inner product of at least `threshold`, a < b; rows of one group never pair.
-
-    At most `pivots` rows, chosen by hash, are the middles of cells; each row is in the cell of its nearest one.
-    A row meets another cell only where its angle to that cell's pivot, less the cell's radius, allows the
-    threshold at the cell's largest length, so no pair is lost. Cells are dealt into blocks by a hash; each pair
-    of blocks is one task with a float32 product, and no task holds more than two blocks. The driver holds the
-    pivots and one row a cell. Rows that no angle tells apart still meet all others.
-    """
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"), F.col(group or key).alias("g"))
-    wanted = min(pivots, -(-rows.count() // max(1, rows_a_block // 4)))
-    middles = [r["v"] for r in rows.orderBy(F.xxhash64("key"), "key").select("v").limit(wanted).collect()]
-    if not middles:
-        return rows.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(0.0).alias("similarity")).where("false")
-    middles = np.array(middles, dtype=float)
-
-    def place(v: pd.Series) -> pd.DataFrame:
-        angles, size = _angles(np.stack(v.to_list()).astype(float), middles)
-        return pd.DataFrame({"cell": angles.argmin(axis=1), "angle": angles.min(axis=1), "size": size})
-
-    # written, so that a row keeps its cell however its batch is cut when a task runs again
-    rows = materialise(rows.withColumn("at", F.pandas_udf(place, "cell int, angle double, size double")("v")).select("key", "v", "g", "at.*"), "close-pairs")
-    facts = {r["cell"]: r for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius"), F.max("size").alias("size")).collect()}
-    parts = np.array([-(-facts[c]["n"] // rows_a_block) if c in facts else 0 for c in range(len(middles))])
-    radius, longest = (np.array([facts[c][f] if c in facts else 0.0 for c in range(len(middles))]) for f in ("radius", "size"))
-    starts = np.cumsum(parts) - parts
-
-    def meets(v: pd.Series) -> pd.Series:
-        """The blocks that a row meets."""
-        angles, size = _angles(np.stack(v.to_list()).astype(float), middles)
-        may = np.ones(angles.shape, dtype=bool)
-        if threshold > 0:
-            needed = threshold / np.maximum(np.outer(size, longest), 1e-30)
-            may = (needed <= 1 + 1e-4) & (angles - radius <= np.arccos(np.minimum(needed, 1)) + 1e-4)
-        blocks = np.repeat(np.arange(len(parts)), parts)
-        return pd.Series([np.flatnonzero(m[blocks]).astype(np.int32) for m in may], dtype=object)
-
-    shape = F.array(*[F.struct(F.lit(int(s)).alias("start"), F.lit(int(n)).alias("n")) for s, n in zip(starts, parts, strict=True)])
-    own = shape[F.col("cell")]
-    rows = rows.withColumn("block", (own["start"] + F.pmod(F.xxhash64("key"), own["n"])).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.pandas_udf(meets, "array<int>")("v")))
-    rows = rows.select("key", "v", "g", "block", F.struct(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).alias("task"))
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        task = pdf["task"].iloc[0]
-        one, two = pdf[pdf["block"] == task["low"]], pdf[pdf["block"] == task["high"]]
-        if not len(one) or not len(two):
-            return pd.DataFrame({"a": pdf["key"][:0], "b": pdf["key"][:0], "similarity": np.zeros(0)})
-        a, b = np.stack(one["v"].to_list()).astype(np.float32), np.stack(two["v"].to_list()).astype(np.float32)
-        i, j = np.nonzero(a @ b.T >= threshold - 1e-4)
-        s = np.einsum("ij,ij->i", a[i].astype(float), b[j].astype(float))
-        ka, kb = one["key"].to_numpy()[i], two["key"].to_numpy()[j]
-        keep = (s >= threshold) & (ka != kb) & (one["g"].to_numpy()[i] != two["g"].to_numpy()[j])
-        if task["low"] == task["high"]:
-            keep &= ka < kb
-        ka, kb = ka[keep], kb[keep]
-        return pd.DataFrame({"a": np.where(ka < kb, ka, kb), "b": np.where(ka < kb, kb, ka), "similarity": s[keep]})
-
-    kind = dict(df.dtypes)[key]
-    return rows.groupBy("task").applyInPandas(multiply, f"a {kind}, b {kind}, similarity double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenlake.operators.graph import connected_components
-from lumenlake.operators.pairs import band_pairs
+from lumenlake.operators.near_hashes import near_pairs
 from lumenlake.sources.scratch import materialise
 
 
@@ -84,7 +84,7 @@ def related_groups(photos: DataFrame, matches: DataFrame, bursts: DataFrame) ->
 def meme_groups(photos: DataFrame, memes: DataFrame, distance: int = 10) -> DataFrame:
     """component, id: memes whose core hashes are near, in groups of two or more; equal hashes are one node."""
     own = photos.join(memes.select("id").distinct(), "id", "left_semi").where("core_hash is not null").select("id", F.col("core_hash").alias("h"))
-    near = band_pairs(own.select("h").distinct(), distance)
+    near = near_pairs(own.select("h").distinct(), distance)
     member = own.join(connected_components(near).withColumnRenamed("node", "h"), "h", "left")
     member = member.select("id", F.coalesce("component", "h").alias("component"))
     return of_two_or_more(member)

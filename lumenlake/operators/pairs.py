@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.functions.hashes import aspect_difference, hash_distance, halves
+from lumenlake.functions.hashes import aspect_difference, hash_distance
+from lumenlake.operators.near_hashes import near_pairs
 
 
 def already_stored(fingerprints: DataFrame, photos: DataFrame) -> DataFrame:
@@ -31,50 +31,22 @@ def exact_stars(photos: DataFrame) -> DataFrame:
     return photos.join(first, "sha256").where("id <> photo_b").select(F.col("id").alias("photo_a"), "photo_b", F.lit("exact").alias("kind"), F.lit(1.0).alias("similarity"))
 
 
-def band_masks(bits: int, radius: int) -> list[int]:
-    """All XOR masks of at most `radius` set bits."""
-    return [sum(1 << k for k in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
-
-
-def band_pairs(hashes: DataFrame, distance: int) -> DataFrame:
-    """a, b, d: distinct hashes (column h, 16 hex digits) at no more than `distance` bits, a < b.
-
-    Four bands of 16 bits: at `distance` differing bits some band differs in at most distance // 4, so the
-    probe side carries every near band value, and no pair is lost. A pair that agrees on several bands is
-    kept at its first one.
-    """
-    radius = distance // 4
-    up, low = halves(F.col("h"))
-    bands = F.array(*[F.shiftright(x, s).bitwiseAND(F.lit(0xFFFF)).cast("int") for x, s in ((up, 16), (up, 0), (low, 16), (low, 0))])
-    build = hashes.select("h", F.posexplode(bands).alias("band", "key"))
-    masks = F.array(*[F.lit(m) for m in band_masks(16, radius)])
-    probe = build.select(F.col("h").alias("a"), "band", F.explode(masks).alias("mask"), "key").select("a", "band", F.col("key").bitwiseXOR(F.col("mask")).alias("key"))
-    near = probe.join(build.withColumnRenamed("h", "b"), ["band", "key"]).where("a < b")
-    a_bands, b_bands = F.transform(F.array(*_band_list("a")), lambda x: x), F.array(*_band_list("b"))
-    agree = F.transform(F.zip_with(a_bands, b_bands, lambda x, y: F.bit_count(x.bitwiseXOR(y))), lambda n: n <= radius)
-    near = near.withColumn("d", hash_distance(F.col("a"), F.col("b"))).where(F.col("d") <= distance)
-    return near.where(F.array_position(agree, True) - 1 == F.col("band")).select("a", "b", "d")
-
-
-def _band_list(name: str) -> list:
-    up, low = halves(F.col(name))
-    return [F.shiftright(x, s).bitwiseAND(F.lit(0xFFFF)).cast("int") for x, s in ((up, 16), (up, 0), (low, 16), (low, 0))]
-
-
 def similar_pairs(photos: DataFrame, phash: int = 10, dhash: int = 12, aspect: float = 0.15) -> DataFrame:
     """photo_a (newer), photo_b (older), similarity: unequal content, like hashes and shape.
 
-    Photos are folded to distinct (content, hashes, shape) first, so copies do not multiply candidates.
+    Photos are folded to distinct (content, hashes, size) first, so copies do not multiply candidates; hashes meet by bands
+    of pHash bits and by shape together.
     """
     cols = ["sha256", "phash", "dhash", "width", "height"]
-    kinds = photos.select(*cols).distinct()
-    hashes = kinds.select(F.col("phash").alias("h")).distinct()
-    near = band_pairs(hashes, phash)
-    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).unionByName(hashes.select(F.col("h").alias("a"), F.col("h").alias("b"), F.lit(0).alias("d")))
     bucket = F.floor(F.log(F.col("width") / F.col("height")) / -math.log(1 - aspect)).cast("int")
-    left = kinds.select(*[F.col(c).alias(f"{c}_1") for c in cols], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("shape"))
-    right = kinds.select(*[F.col(c).alias(f"{c}_2") for c in cols], bucket.alias("shape"))
-    joined = left.join(near, F.col("phash_1") == F.col("a")).join(right, (F.col("phash_2") == F.col("b")) & (left["shape"] == right["shape"]))
+    kinds = photos.select(*cols).distinct().withColumn("shape", bucket)
+    nodes = kinds.select(F.col("phash").alias("h"), "shape").where("h is not null and shape is not null").distinct()
+    near = near_pairs(nodes, phash, "shape")
+    own = nodes.select(F.col("h").alias("a"), F.col("h").alias("b"), F.lit(0).alias("d"), F.col("shape").alias("shape_a"), F.col("shape").alias("shape_b"))
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d", F.col("shape_b").alias("shape_a"), F.col("shape_a").alias("shape_b"))).unionByName(own)
+    left, right = (kinds.select(*[F.col(c).alias(f"{c}_{k}") for c in cols], F.col("shape").alias(f"shape_{e}")) for k, e in ((1, "a"), (2, "b")))
+    near = near.withColumnsRenamed({"a": "phash_1", "b": "phash_2"})
+    joined = left.join(near, ["phash_1", "shape_a"]).join(right, ["phash_2", "shape_b"])
     joined = joined.where(F.col("sha256_1") != F.col("sha256_2")).withColumn("e", hash_distance(F.col("dhash_1"), F.col("dhash_2")))
     ok = joined.where((F.col("e") <= dhash) & (aspect_difference(F.col("width_1"), F.col("height_1"), F.col("width_2"), F.col("height_2")) <= aspect))
     score = F.least(F.lit(0.99), F.round(1 - (F.col("d") + F.col("e")) / 128, 3))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.functions.vectors import close_pairs, dot
+from lumenlake.functions.vectors import dot
 from lumenlake.operators.graph import connected_components
+from lumenlake.operators.vector_index import close_pairs
 
 
 def subject_pairs(photos: DataFrame, faces: DataFrame, matches: DataFrame, t: float = 0.82) -> DataFrame:
@@ -43,6 +44,17 @@ def assign_people(new_faces: DataFrame, known_faces: DataFrame, people: DataFram
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     of = rows.select("id", "person")
     both = both.join(of.where("person is null").select(F.col("id").alias("a")), "a", "left_semi").join(of.withColumnRenamed("id", "b"), "b")
+    own, folded = link_people(both, new_faces.select("id"), people)
+    moved = known_faces.join(folded, "person_id").select("id", F.col("keep").alias("person_id"))
+    return own.unionByName(moved)
+
+
+def link_people(both: DataFrame, new_faces: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, person_id) of every new face (id), and (person_id, keep) of persons that are folded into another.
+
+    both: a (a new face), b (a new face, then with the pair (b, a) too, or a known one), person (of b; null for a new
+    face), similarity. people: id, name, manual. Only the faces and persons of these pairs are looked at.
+    """
     score = both.where("person is not null").groupBy("a", "person").agg(F.max("similarity").alias("s"))
     score = score.join(people.select(F.col("id").alias("person"), "name", F.coalesce("manual", F.lit(False)).alias("manual")), "person")
     held = score.groupBy("a").agg(F.max("manual").alias("manual"), F.min_by("person", F.struct(-F.col("s"), "person")).alias("closest"))
@@ -58,5 +70,4 @@ def assign_people(new_faces: DataFrame, known_faces: DataFrame, people: DataFram
     own = new_faces.select("id").join(fixed.select("id"), "id", "left_anti").join(named.select(F.substring("node", 3, 1 << 30).alias("id"), "component", "keep").where("node like 'f:%'"), "id", "left")
     fresh = own.select("id", F.coalesce("keep", F.concat(F.lit("new-"), F.coalesce(F.substring("component", 3, 1 << 30), "id"))).alias("person_id"))
     folded = named.where("node like 'p:%' and keep is not null").select(F.substring("node", 3, 1 << 30).alias("person_id"), "keep").where("person_id <> keep")
-    moved = known_faces.join(folded, "person_id").select("id", F.col("keep").alias("person_id"))
-    return fixed.unionByName(fresh).unionByName(moved)
+    return fixed.unionByName(fresh), folded

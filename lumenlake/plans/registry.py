@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.functions import text as X
-from lumenlake.functions import vectors as V
 from lumenlake.functions.hashes import aspect_difference
 from lumenlake.functions.receipts import explode_items as with_items
 from lumenlake.operators import bursts as B
@@ -15,6 +14,7 @@ from lumenlake.operators import groups as G
 from lumenlake.operators import pairs as P
 from lumenlake.operators import people as H
 from lumenlake.operators import spending as M
+from lumenlake.operators.vector_index import close_pairs
 from lumenlake.plans import analysed, streams  # noqa: F401  register their queries
 from lumenlake.plans.register import ORACLES, QUERIES, query  # noqa: F401
 from lumenlake.sources.scratch import table
@@ -490,7 +490,7 @@ def auto_album_summary(v, spark, sf_dir):
 @query(sql="SELECT least(a.vec_id, b.vec_id) AS a, greatest(a.vec_id, b.vec_id) AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id // 2 <> b.vec_id // 2 WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.363", plain=True)
 def face_pairs(v, spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.floor(F.col("vec_id") / 2).alias("photo"))
-    return V.close_pairs(e, 0.363, group="photo").withColumn("similarity", F.round("similarity", 6))
+    return close_pairs(e, 0.363, group="photo").withColumn("similarity", F.round("similarity", 6))
 
 
 # --- money --------------------------------------------------------------------------------------------

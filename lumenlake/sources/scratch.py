@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Tables that are still there, by path, and the scopes that are open, the innermost last.
+_HELD: dict[str, SparkSession] = {}
+_SCOPES: list[list[str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -28,20 +34,45 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _HELD[path] = spark
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.scratch = path
     return made
 
 
+def _remove(path: str) -> None:
+    spark = _HELD.pop(path, None)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that materialise wrote, once everything made of them is written. Others are left alone."""
     for df in tables:
-        path = getattr(df, "__dict__", {}).get("scratch")
-        if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _remove(getattr(df, "__dict__", {}).get("scratch", ""))
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables that are materialised inside go at its end: for work whose results are written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _remove(path)
+
+
+@atexit.register
+def clear() -> None:
+    """Remove what is left: tables behind results that are read later belong to the session and end with its process."""
+    for path in list(_HELD):
+        with suppress(Exception):  # the session's process may be gone
+            _remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from lumenlake.functions.hashes import halves
-from lumenlake.operators.pairs import band_masks, best_match, exact_pairs, similar_pairs
-from lumenlake.sources.analyses import parse_analyses
-from lumenlake.sources.scratch import materialise
+from lumenlake.functions.hashes import whole
+from lumenlake.operators.near_hashes import Bands, entries
+from lumenlake.operators.pairs import best_match, exact_pairs, similar_pairs
+from lumenlake.sources.scratch import materialise, scope
 
 
 def _write(df: DataFrame, root: str, name: str, batch: int) -> None:
@@ -26,21 +26,21 @@ def stored(spark: SparkSession, root: str, name: str, before: int | None = None)
     return (df if before is None else df.where(F.col("batch_id") < before)).drop("batch_id")
 
 
-def near_hashes(batch: DataFrame, catalogue: DataFrame, distance: int = 10) -> DataFrame:
-    """phash values of the catalogue that may lie within `distance` bits of one of the batch: some 16-bit band is near."""
-    up, low = halves(F.col("phash"))
-    bands = F.array(*[F.shiftright(x, s).bitwiseAND(F.lit(0xFFFF)).cast("int") for x, s in ((up, 16), (up, 0), (low, 16), (low, 0))])
-    masks = F.array(*[F.lit(m) for m in band_masks(16, distance // 4)])
-    probe = batch.select("phash").distinct().select(F.posexplode(bands).alias("band", "key")).select("band", "key", F.explode(masks).alias("mask"))
-    probe = probe.select("band", F.col("key").bitwiseXOR(F.col("mask")).alias("key")).distinct()
-    return catalogue.select("phash").distinct().select("phash", F.posexplode(bands).alias("band", "key")).join(probe, ["band", "key"], "left_semi").select("phash").distinct()
+def near_candidates(batch: DataFrame, catalogue: DataFrame, distance: int = 10) -> DataFrame:
+    """phash values of the catalogue that may lie within `distance` bits of one of the batch: some 16-bit band is near.
+
+    The batch, being small, flips all bits that a band may differ in; the catalogue sends each band as it is.
+    """
+    bands, names = Bands(Bands.of(4, distance).bands, 0, distance // 4), ("band", "key")
+    probe = entries(batch.select("phash").distinct(), whole(F.col("phash")), bands, bands.probe, names).select(*names).distinct()
+    return entries(catalogue.select("phash").distinct(), whole(F.col("phash")), bands, 0, names).join(probe, [*names], "left_semi").select("phash").distinct()
 
 
 def compare_batch(batch: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Exact and similar pairs with an end in the batch; only catalogue rows of the same content or a near hash take part."""
     own = batch.select(F.col("id").alias("photo_a"))
     same = catalogue.join(batch.select("sha256").distinct(), "sha256", "left_semi").select(*batch.columns)
-    near = catalogue.join(near_hashes(batch, catalogue), "phash", "left_semi").select(*batch.columns)
+    near = catalogue.join(near_candidates(batch, catalogue), "phash", "left_semi").select(*batch.columns)
     pairs = exact_pairs(batch.unionByName(same)).unionByName(similar_pairs(batch.unionByName(near)))
     here = own.select("photo_a", F.lit(True).alias("_a"))
     there = own.select(F.col("photo_a").alias("photo_b"), F.lit(True).alias("_b"))
@@ -56,12 +56,13 @@ def stream_uploads(stream: DataFrame, root: str) -> DataStreamWriter:
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = materialise(batch, "upload")
-        catalogue = stored(spark, root, "photos", number) if number else rows.limit(0)
-        matches = materialise(compare_batch(rows, catalogue), "upload-matches")
-        _write(matches, root, "matches", number)
-        _write(best_match(matches, catalogue.select("id", "uploaded_at").unionByName(rows.select("id", "uploaded_at"))), root, "best", number)
-        _write(rows, root, "photos", number)
+        with scope():
+            rows = materialise(batch, "upload")
+            catalogue = stored(spark, root, "photos", number) if number else rows.limit(0)
+            matches = materialise(compare_batch(rows, catalogue), "upload-matches")
+            _write(matches, root, "matches", number)
+            _write(best_match(matches, catalogue.select("id", "uploaded_at").unionByName(rows.select("id", "uploaded_at"))), root, "best", number)
+            _write(rows, root, "photos", number)
 
     return stream.writeStream.foreachBatch(add)
 
@@ -84,24 +85,6 @@ def stream_liveness(heartbeats: DataFrame) -> DataFrame:
     return heartbeats.groupBy("name").agg(F.max("last_seen").alias("last_seen"))
 
 
-def stream_analyses(stream: DataFrame, root: str, version: int = 6, size: int = 512, face_size: int = 128) -> DataStreamWriter:
-    """Analysis results (id, json) into root/analyses, bad ones into root/rejects."""
-
-    def add(batch: DataFrame, number: int) -> None:
-        good, bad = parse_analyses(materialise(batch, "analyses"), version, size, face_size)
-        _write(good, root, "analyses", number)
-        _write(bad, root, "rejects", number)
-
-    return stream.writeStream.foreachBatch(add)
-
-
-def latest_analyses(spark: SparkSession, root: str) -> DataFrame:
-    """The last result of each photo, to be laid over the catalogue with apply_analyses."""
-    df = spark.read.parquet(f"{root}/analyses")
-    rest = [c for c in df.columns if c not in ("id", "batch_id")]
-    return df.groupBy("id").agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select("id", "r.*")
-
-
 def stream_status(stream: DataFrame) -> DataFrame:
     """Running number of photos by status (waiting holds those in processing)."""
     status = F.coalesce("ai_status", F.lit("waiting"))

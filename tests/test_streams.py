@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.operators.pairs import exact_pairs, similar_pairs
 from lumenlake.sources.analyses import parse_analyses
-from lumenlake.streaming import jobs
+from lumenlake.streaming import analyses, jobs
 
 PHOTO = "id string, sha256 string, phash string, dhash string, width int, height int, uploaded_at string"
 
@@ -77,6 +77,6 @@ def test_analyses_are_checked(spark, tmp_path):
     assert {r["id"]: r["reason"] for r in bad.collect()} == {"json": "json", "null": "json", "old": "version", "short": "vector", "nan": "vector", "face": "vector", "box": "box", "core": "core_hash"}
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id string, json string").parquet(str(tmp_path / "in"))
-    drain(jobs.stream_analyses(stream, str(tmp_path / "out"), size=2, face_size=3), tmp_path / "checkpoint")
-    assert jobs.latest_analyses(spark, str(tmp_path / "out")).count() == 2
+    drain(analyses.stream_analyses(stream, str(tmp_path / "out"), size=2, face_size=3), tmp_path / "checkpoint")
+    assert analyses.latest_analyses(spark, str(tmp_path / "out")).count() == 2
     assert jobs.stored(spark, str(tmp_path / "out"), "rejects").count() == 8
