@@ -151,24 +151,73 @@ def exif_entries(data: bytes, order: str, at: int) -> dict[int, object]:
     return out
 
 
+def png_chunks(content: bytes):
+    """(kind, body) of a PNG's chunks, as far as they are whole."""
+    at = 8
+    while at + 12 <= len(content):
+        (size,) = struct.unpack_from(">I", content, at)
+        if at + 12 + size > len(content):
+            return
+        yield content[at + 4 : at + 8], content[at + 8 : at + 8 + size]
+        at += 12 + size
+
+
+def riff_chunks(content: bytes):
+    """(kind, body) of a WEBP's chunks, as far as they are whole; bodies of odd length are padded."""
+    at = 12
+    while at + 8 <= len(content):
+        (size,) = struct.unpack_from("<I", content, at + 4)
+        if at + 8 + size > len(content):
+            return
+        yield content[at : at + 4], content[at + 8 : at + 8 + size]
+        at += 8 + size + size % 2
+
+
+def exif_block(content: bytes) -> bytes:
+    """The camera data of a JPEG, PNG or WEBP, from its byte order on; empty where there is none."""
+    found = b""
+    if content[:2] == b"\xff\xd8":
+        found = next((body for marker, body in segments(content) if marker == 0xE1 and body[:6] == b"Exif\0\0"), b"")
+    elif content[:8] == b"\x89PNG\r\n\x1a\n":
+        found = next((body for kind, body in png_chunks(content) if kind == b"eXIf"), b"")
+    elif content[:4] == b"RIFF" and content[8:12] == b"WEBP":
+        found = next((body for kind, body in riff_chunks(content) if kind == b"EXIF"), b"")
+    found = found.removeprefix(b"Exif\0\0")
+    return found if found[:2] in (b"II", b"MM") and len(found) >= 8 else b""
+
+
+def webp_size(content: bytes) -> tuple[int, int] | None:
+    """Width and height of a WEBP by the header of its first picture chunk; None for other files and broken ones."""
+    if content[:4] != b"RIFF" or content[8:12] != b"WEBP":
+        return None
+    for kind, body in riff_chunks(content):
+        if kind == b"VP8X" and len(body) >= 10:
+            return 1 + int.from_bytes(body[4:7], "little"), 1 + int.from_bytes(body[7:10], "little")
+        if kind == b"VP8L" and len(body) >= 5 and body[0] == 0x2F:
+            bits = int.from_bytes(body[1:5], "little")
+            return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+        if kind == b"VP8 " and len(body) >= 10 and body[3:6] == b"\x9d\x01\x2a":
+            return int.from_bytes(body[6:8], "little") & 0x3FFF, int.from_bytes(body[8:10], "little") & 0x3FFF
+    return None
+
+
 def camera_fields(content: bytes) -> tuple:
-    """taken_at, camera, quality, orientation of a JPEG; other kinds have none."""
+    """taken_at, camera, orientation of a JPEG, PNG or WEBP and the quality of a JPEG; other kinds have none."""
     fields: dict[int, object] = {}
     inner: dict[int, object] = {}
     quality = None
-    if content[:2] == b"\xff\xd8":
-        for marker, body in segments(content):
-            if marker == 0xE1 and body[:6] == b"Exif\0\0" and body[6:8] in (b"II", b"MM") and len(body) >= 14:
-                data, order = body[6:], "<" if body[6:8] == b"II" else ">"
-                fields = exif_entries(data, order, struct.unpack_from(f"{order}I", data, 4)[0])
-                if isinstance(fields.get(EXIF_PART), int):
-                    inner = exif_entries(data, order, fields[EXIF_PART])
-            while marker == 0xDB and body:
-                size = 128 if body[0] >> 4 else 64
-                table = np.frombuffer(body[1 : 1 + size], ">u2" if size == 128 else "u1")
-                if body[0] & 15 == 0 and len(table) == 64:
-                    quality = quality_of(table)
-                body = body[1 + size :]
+    if data := exif_block(content):
+        order = "<" if data[:2] == b"II" else ">"
+        fields = exif_entries(data, order, struct.unpack_from(f"{order}I", data, 4)[0])
+        if isinstance(fields.get(EXIF_PART), int):
+            inner = exif_entries(data, order, fields[EXIF_PART])
+    for marker, body in segments(content) if content[:2] == b"\xff\xd8" else ():
+        while marker == 0xDB and body:
+            size = 128 if body[0] >> 4 else 64
+            table = np.frombuffer(body[1 : 1 + size], ">u2" if size == 128 else "u1")
+            if body[0] & 15 == 0 and len(table) == 64:
+                quality = quality_of(table)
+            body = body[1 + size :]
     said = str(inner.get(TAKEN) or fields.get(DATE) or "").split(" ")
     taken = f"{said[0].replace(':', '-')}T{said[1]}" if len(said) == 2 else None
     turn = fields.get(ORIENTATION)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenlake.functions.entities import with_entities
 from lumenlake.functions.text import squeeze
 from lumenlake.operators.groups import both_ends
 
@@ -110,16 +111,28 @@ def analysis_status(photos: DataFrame) -> DataFrame:
     return photos.groupBy(F.when(status == "processing", "waiting").otherwise(status).alias("status")).agg(F.count("*").alias("n"))
 
 
-def photo_details(photos: DataFrame, matches: DataFrame, faces: DataFrame, people: DataFrame, albums: DataFrame, album_photos: DataFrame) -> DataFrame:
-    """id, matches (best first), faces (left to right, with the person's photo count), albums (by name)."""
-    best = both_ends(matches).groupBy("node").agg(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("order"), "other", "kind", "similarity"))).alias("m"))
-    best = best.select(F.col("node").alias("id"), F.transform("m", lambda x: F.struct(x["other"].alias("id"), x["kind"].alias("kind"), x["similarity"].alias("similarity"))).alias("matches"))
-    counts = faces.groupBy("person_id").agg(F.count_distinct("photo_id").alias("photos"))
-    seen = faces.join(people.select(F.col("id").alias("person_id"), "name"), "person_id", "left").join(counts, "person_id", "left")
-    seen = seen.groupBy(F.col("photo_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("x", F.col("id").alias("face_id"), "person_id", "name", "photos"))).alias("faces"))
-    named = album_photos.join(albums.select(F.col("id").alias("album_id"), "name"), "album_id")
-    named = named.groupBy(F.col("photo_id").alias("id")).agg(F.sort_array(F.collect_set("name")).alias("albums"))
-    return photos.select("id").join(best, "id", "left").join(seen, "id", "left").join(named, "id", "left")
+def photo_details(photos: DataFrame, matches: DataFrame, faces: DataFrame, people: DataFrame, albums: DataFrame, album_photos: DataFrame, receipts: DataFrame | None = None) -> DataFrame:
+    """id, matches (best first), people (faces from left to right, with the person's photo count), albums (by name, then id), text,
+    found (entities of the text), qr_codes, words, receipt: all that is shown of each photo.
+
+    photos: id and, where known, ocr_text, qr_codes, ocr_words. receipts: id and what all_receipts gives. Every part is brought
+    to one layout, a column for each, and one grouping by photo puts them together. A photo's lists are one row.
+    """
+    held = {c: F.col(c) if c in photos.columns else F.lit(None).cast(kind) for c, kind in (("ocr_text", "string"), ("qr_codes", "array<struct<text:string,box:array<double>>>"), ("ocr_words", "array<struct<text:string,box:array<double>,line:int>>"))}
+    own = photos.select("id", F.coalesce(held["ocr_text"], F.lit("")).alias("text"), held["qr_codes"].alias("qr_codes"), held["ocr_words"].alias("words"))
+    own = with_entities(own, "text", "found").select("id", F.struct("text", "found", F.coalesce("qr_codes", F.array()).alias("qr_codes"), F.coalesce("words", F.array()).alias("words")).alias("own"))
+    match = both_ends(matches).select(F.col("node").alias("id"), F.struct((-F.col("similarity")).alias("order"), F.col("other").alias("id"), "kind", "similarity").alias("match"))
+    counts = faces.where("person_id is not null").groupBy("person_id").agg(F.count_distinct("photo_id").alias("photos"))
+    face = faces.join(people.select(F.col("id").alias("person_id"), "name"), "person_id", "left").join(counts, "person_id", "left")
+    face = face.select(F.col("photo_id").alias("id"), F.struct("x", F.col("id").alias("face_id"), "person_id", "name", "y", "w", "h", F.coalesce("photos", F.lit(0)).alias("photos")).alias("face"))
+    album = album_photos.join(albums.select(F.col("id").alias("album_id"), "name"), "album_id").select(F.col("photo_id").alias("id"), F.struct("name", F.col("album_id").alias("id")).alias("album"))
+    parts = own.unionByName(match, True).unionByName(face, True).unionByName(album, True)
+    if receipts is not None:
+        parts = parts.unionByName(receipts.select("id", F.struct(*[c for c in receipts.columns if c != "id"]).alias("receipt")), True)
+    listed = lambda c: F.array_sort(F.collect_list(c)).alias(c)
+    made = parts.groupBy("id").agg(F.first("own", True).alias("own"), listed("match"), listed("face"), listed("album"), *([F.first("receipt", True).alias("receipt")] if receipts is not None else []))
+    shown = [F.transform("match", lambda x: F.struct(x["id"].alias("id"), x["kind"].alias("kind"), x["similarity"].alias("similarity"))).alias("matches"), F.col("face").alias("people"), F.transform("album", lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"))).alias("albums")]
+    return made.where("own is not null").select("id", *shown, "own.*", *(["receipt"] if receipts is not None else []))
 
 
 def delete_photos(tables: dict[str, DataFrame], ids: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:

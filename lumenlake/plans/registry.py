@@ -17,6 +17,7 @@ from lumenlake.operators import spending as M
 from lumenlake.operators.vector_index import close_pairs
 from lumenlake.plans import analysed, streams  # noqa: F401  register their queries
 from lumenlake.plans.register import ORACLES, QUERIES, query  # noqa: F401
+from lumenlake.plans.views import PAD
 from lumenlake.sources.scratch import table
 
 # --- duplicates ---------------------------------------------------------------------------------------
@@ -269,22 +270,34 @@ def analysis_status(v, spark, sf_dir):
 
 
 @query(
-    "photos matches faces people albums album_photos",
-    """WITH e AS (SELECT photo_a AS id, photo_b AS o, kind, similarity FROM matches UNION ALL SELECT photo_b, photo_a, kind, similarity FROM matches),
+    "photos matches faces people albums album_photos receipts",
+    f"""WITH e AS (SELECT photo_a AS id, photo_b AS o, kind, similarity FROM matches UNION ALL SELECT photo_b, photo_a, kind, similarity FROM matches),
     m AS (SELECT id, string_agg(o || '/' || kind, ',' ORDER BY similarity DESC, o, kind) AS matches FROM e GROUP BY id),
     c AS (SELECT person_id, count(DISTINCT photo_id) AS n FROM faces WHERE person_id IS NOT NULL GROUP BY person_id),
-    f AS (SELECT photo_id AS id, string_agg(f.id || '/' || coalesce(p.name, '-') || '/' || coalesce(n, 0), ',' ORDER BY x, f.id) AS faces FROM faces f LEFT JOIN people p ON p.id = person_id LEFT JOIN c ON c.person_id = f.person_id GROUP BY photo_id),
-    a AS (SELECT photo_id AS id, string_agg(DISTINCT name, ',' ORDER BY name) AS albums FROM album_photos JOIN albums ON albums.id = album_id GROUP BY photo_id)
-    SELECT photos.id, matches, faces, albums FROM photos LEFT JOIN m USING (id) LEFT JOIN f USING (id) LEFT JOIN a USING (id)""",
+    f AS (SELECT photo_id AS id, string_agg(f.id || '/' || coalesce(p.name, '-') || '/' || coalesce(n, 0), ',' ORDER BY x, f.id) AS people FROM faces f LEFT JOIN people p ON p.id = person_id LEFT JOIN c ON c.person_id = f.person_id GROUP BY photo_id),
+    a AS (SELECT photo_id AS id, string_agg(name || '/' || album_id, ',' ORDER BY name, album_id) AS albums FROM album_photos JOIN albums ON albums.id = album_id GROUP BY photo_id),
+    r AS (SELECT {PAD("cast(regexp_extract(id, 'r([0-9]+)', 1) AS bigint) % 1000")} AS id, min(shop) AS shop, max(total) AS total FROM receipts GROUP BY 1)
+    SELECT photos.id, coalesce(matches, '') AS matches, coalesce(people, '') AS people, coalesce(albums, '') AS albums, coalesce(ocr_text, '') AS text, filename AS code, coalesce(split_part(ocr_text, ' ', 1), '') AS word,
+        shop, total FROM photos LEFT JOIN m USING (id) LEFT JOIN f USING (id) LEFT JOIN a USING (id) LEFT JOIN r USING (id)""",
 )
 def photo_details(v, spark, sf_dir):
-    d = C.photo_details(v("photos"), v("matches"), v("faces"), v("people"), v("albums"), v("album_photos"))
-    said = lambda x: F.concat_ws("/", x["face_id"], F.coalesce(x["name"], F.lit("-")), F.coalesce(x["photos"], F.lit(0)).cast("string"))
+    """File names stand for codes, the first word of the text for the read words, the receipts of a thousand orders for those of photos."""
+    box = F.array(F.lit(0.0)).alias("box")
+    photos = v("photos").withColumn("qr_codes", F.array(F.struct(F.col("filename").alias("text"), box)))
+    photos = photos.withColumn("ocr_words", F.when(F.col("ocr_text").isNotNull(), F.array(F.struct(F.element_at(F.split("ocr_text", " "), 1).alias("text"), box, F.lit(0).alias("line")))))
+    receipts = v("receipts").groupBy(F.expr(PAD("cast(regexp_extract(id, 'r([0-9]+)', 1) as bigint) % 1000")).alias("id")).agg(F.min("shop").alias("shop"), F.max("total").alias("total"))
+    d = C.photo_details(photos, v("matches"), v("faces"), v("people"), v("albums"), v("album_photos"), receipts)
+    said = lambda x: F.concat_ws("/", x["face_id"], F.coalesce(x["name"], F.lit("-")), x["photos"].cast("string"))
     return d.select(
         "id",
         F.array_join(F.transform("matches", lambda x: F.concat_ws("/", x["id"], x["kind"])), ",").alias("matches"),
-        F.array_join(F.transform("faces", said), ",").alias("faces"),
-        F.array_join("albums", ",").alias("albums"),
+        F.array_join(F.transform("people", said), ",").alias("people"),
+        F.array_join(F.transform("albums", lambda x: F.concat_ws("/", x["name"], x["id"])), ",").alias("albums"),
+        "text",
+        F.get("qr_codes", F.lit(0))["text"].alias("code"),
+        F.coalesce(F.get("words", F.lit(0))["text"], F.lit("")).alias("word"),
+        "receipt.shop",
+        "receipt.total",
     )
 
 
@@ -553,7 +566,7 @@ def freed_bytes(v, spark, sf_dir):
 
 @query(
     "receipts",
-    f"""WITH {_MARKED} SELECT coalesce(shop, '') AS "Shop", coalesce(date, '') AS "Date", total AS "Total", currency AS "Currency", upper(kind[1]) || kind[2:] AS "Kind", item || ' ' || printf('%.2f', item_amount) AS "Items", filename AS "Photo" FROM marked WHERE copy_of IS NULL""",
+    rf"""WITH {_MARKED} SELECT coalesce(shop, '') AS "Shop", coalesce(date, '') AS "Date", total AS "Total", currency AS "Currency", upper(kind[1]) || kind[2:] AS "Kind", item || ' ' || regexp_replace(printf('%.2f', item_amount), '\.?0+$', '') AS "Items\", filename AS "Photo" FROM marked WHERE copy_of IS NULL""",
 )
 def export_receipts(v, spark, sf_dir):
     return M.export_receipts(_receipts(v))

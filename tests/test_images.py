@@ -56,7 +56,7 @@ def test_files_pixels_and_hashes(spark, tmp_path):
     assert sorted(r["filename"] for r in ok.collect()) == sorted(made)
     assert {r["path"].rsplit("/", 1)[1]: r["reason"] for r in bad.collect()} == {"text.txt": "unsupported"}
     assert read_image_files(spark, str(tmp_path), most=1000)[1].where("reason = 'too large'").count() == 4
-    f = I.image_features(read_pixels(spark, str(tmp_path))).withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1))
+    f = I.image_features(read_pixels(spark, str(tmp_path))[0]).withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1))
     rows = {r["name"]: r for r in f.collect()}
     a, b = f.where("name = 'scene.bmp'").select(F.col("phash").alias("p"), F.col("dhash").alias("d")), f
     far = {r["name"]: (r["p"], r["d"]) for r in b.crossJoin(a).select("name", hash_distance(F.col("phash"), F.col("p")).alias("p"), hash_distance(F.col("dhash"), F.col("d")).alias("d")).collect()}
@@ -89,3 +89,36 @@ def test_crop_box_and_user_model(spark):
     df = spark.createDataFrame([("a",), ("bbb",)], "t string")
     got = I.embed(df, lambda: lambda texts: [[float(len(t))] for t in texts], "t").collect()
     assert {r["t"]: r["embedding"] for r in got} == {"a": [1.0], "bbb": [3.0]}
+
+
+def chunked(kind, tiff):
+    """A PNG, WEBP or JPEG with this camera data and little else."""
+    if kind == "png":
+        part = lambda k, b: struct.pack(">I", len(b)) + k + b + b"\0" * 4
+        return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", b"\0" * 13) + part(b"eXIf", tiff) + part(b"IEND", b"")
+    part = lambda k, b: k + struct.pack("<I", len(b)) + b + b"\0" * (len(b) % 2)
+    body = b"WEBP" + part(b"VP8X", b"\0" * 4 + (639).to_bytes(3, "little") + (479).to_bytes(3, "little")) + part(b"ODD ", b"x") + part(b"EXIF", (b"Exif\0\0" if kind == "webp" else b"") + tiff)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def test_camera_fields_of_every_kind(spark):
+    tiff = next(b for m, b in I.segments(jpeg_head(">")) if m == 0xE1)[6:]
+    rows = [("jpeg", jpeg_head("<")), ("png", chunked("png", tiff)), ("webp", chunked("webp", tiff)), ("bare", chunked("bare", tiff)), ("cut", chunked("png", tiff)[:60]), ("short", b"RIFF"), ("none", None), ("empty", b"")]
+    got = {r["name"]: r for r in I.with_camera_fields(spark.createDataFrame(rows, "name string, content binary")).collect()}
+    for kind in ("jpeg", "png", "webp", "bare"):
+        assert (got[kind]["taken_at"], got[kind]["camera"], got[kind]["orientation"]) == ("2024-01-05T10:00:00", True, 6)
+    assert got["jpeg"]["jpeg_quality"] is not None and got["png"]["jpeg_quality"] is None
+    assert all(got[k]["taken_at"] is None and not got[k]["camera"] for k in ("cut", "short", "none", "empty"))
+
+
+def test_every_file_is_in_one_of_both_tables(spark, tmp_path):
+    (tmp_path / "a.bmp").write_bytes(bitmap(scene()))
+    (tmp_path / "broken.bmp").write_bytes(bitmap(scene())[:100])
+    (tmp_path / "broken.png").write_bytes(b"\x89PNG\r\n\x1a\nrest")
+    (tmp_path / "b.webp").write_bytes(chunked("webp", b"II*\0\0\0\0\0"))
+    (tmp_path / "c.txt").write_bytes(b"no image")
+    name = lambda r: r["path"].rsplit("/", 1)[1]
+    ok, bad = read_pixels(spark, str(tmp_path))
+    good, reasons = {name(r) for r in ok.collect()}, {name(r): (r["reason"], r["width"], r["height"]) for r in bad.collect()}
+    assert good | set(reasons) == {"a.bmp", "broken.bmp", "broken.png", "b.webp", "c.txt"} and not good & set(reasons)
+    assert "a.bmp" in good and reasons["b.webp"] == ("no decoder", 640, 480) and reasons["c.txt"][0] == "unsupported" and reasons["broken.png"][0] == "does not decode"
