@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -87,6 +88,12 @@ def split_points(urls: DataFrame, parts: int, a_part: int) -> list[tuple]:
     return sorted({order[k * len(order) // parts] for k in range(1, parts)} if order else set())
 
 
+def _steps(fits, step: int) -> Column:
+    at = F.size(F.filter("_fences", fits))
+    before = (F.greatest(at, F.lit(1)) - 1) * step
+    return F.when(at > 0, before + F.size(F.filter(F.slice("_points", before + 1, F.lit(step)), fits))).otherwise(0)
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", parts: int | None = None, a_part: int = 50) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages.
 
@@ -107,13 +114,17 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", parts: int
     key = lambda h: F.concat(F.array_join(F.reverse(F.split(h, r"\.")), "\x00"), F.lit("\x00"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", key(F.col("host")))
     points = split_points(urls, parts, a_part)
-    held = spark.createDataFrame([(points,)], "points array<struct<key:string,path:string,page_id:long>>").select(F.col("points").alias("_points"))  # one row of parts - 1 places
+    step = max(1, math.isqrt(len(points)))
+    kind = "array<struct<key:string,path:string,page_id:long>>"
+    held = spark.createDataFrame([(points, points[::step])], f"_points {kind}, _fences {kind}")  # one row of parts - 1 places
+    # how many of the sorted places fit, if none fits after one that does not: first among every step-th, then within a step
+    count = lambda fits: _steps(fits, step)
     own = F.struct("key", "path", F.coalesce("page_id", F.lit(-1)).alias("page_id"))
-    dealt = urls.crossJoin(F.broadcast(held)).withColumn("part", F.size(F.filter("_points", lambda p: p <= own))).drop("_points")
+    dealt = urls.crossJoin(F.broadcast(held)).withColumn("part", count(lambda p: p <= own)).drop("_points", "_fences")
     rules = rules.select("host", "path", "verdict").dropna().groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("key", key(F.col("host")))
-    low = F.size(F.filter("_points", lambda p: p["key"] < F.col("key")))
-    high = F.size(F.filter("_points", lambda p: (p["key"] <= F.col("key")) | F.startswith(p["key"], F.col("key"))))
-    spread = rules.crossJoin(F.broadcast(held)).withColumn("part", F.explode(F.sequence(low, F.greatest(low, high)))).drop("_points")
+    low = count(lambda p: p["key"] < F.col("key"))
+    high = count(lambda p: (p["key"] <= F.col("key")) | F.startswith(p["key"], F.col("key")))
+    spread = rules.crossJoin(F.broadcast(held)).withColumn("part", F.explode(F.sequence(low, F.greatest(low, high)))).drop("_points", "_fences")
     both = dealt.select("part", "key", F.lit(1).alias("url"), "path", "page_id", "host", F.lit(None).cast("string").alias("verdict"))
     both = both.unionByName(spread.select("part", "key", F.lit(0).alias("url"), "path", F.lit(None).cast("long").alias("page_id"), "host", "verdict"))
     both = both.repartitionByRange(parts, "part").sortWithinPartitions("part", "key", "url")
