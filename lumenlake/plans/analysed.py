@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from lumenlake.functions import text as X
 from lumenlake.functions import vectors as V
 from lumenlake.functions.entities import explode_entities, split_words, with_entities
-from lumenlake.functions.receipts import with_receipt
+from lumenlake.functions.receipts import with_printed_rows, with_receipt
 from lumenlake.operators import albums as A
 from lumenlake.operators import spending as M
 from lumenlake.operators import subjects as S
 from lumenlake.operators.edits import normalise_fixes as normalise
 from lumenlake.plans.register import query
 from lumenlake.plans.views import PAD
+from lumenlake.sources.analyses import parse_analyses as parse
 from lumenlake.sources.scratch import table
 
 
@@ -52,6 +53,56 @@ def _written() -> Column:
     return F.concat_ws("\n", shop, F.concat(F.lit("Date: "), day), item, F.when(F.col("total").isNotNull(), total))
 
 
+@query(
+    "receipts",
+    f"""SELECT id, coalesce({_SHOP.format("shop")}, 'Corner Store') AS shop, date, CASE WHEN total IS NOT NULL THEN total END AS total, '₹' AS currency, 'payment' AS kind FROM receipts""",
+)
+def read_payments(v, spark, sf_dir):
+    """Payments written out as a screenshot's text and read back."""
+    shop = F.coalesce(F.expr(_SHOP.format("shop")), F.lit("Corner Store"))
+    paid = F.when(F.col("total").isNotNull(), F.concat(F.lit("₹ "), F.format_string("%.2f", "total")))
+    said = F.concat_ws("\n", F.lit("Payment successful"), F.concat(F.lit("Paid to "), shop), paid, F.lit("UPI transaction id seven"), F.date_format(F.col("date").cast("date"), "dd/MM/yyyy"))
+    read = with_receipt(v("receipts").select("id", said.alias("text")).repartition("id"), "text")
+    return read.select("id", *[f"receipt.{c}" for c in ("shop", "date", "total", "currency", "kind")])
+
+
+@query(
+    sql="""WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM documents),
+    r AS (SELECT doc_id, (i - 1) // 8 AS line, string_agg(ws[i], ' ' ORDER BY i) AS said FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w) GROUP BY ALL),
+    t AS (SELECT doc_id, string_agg(said, chr(10) ORDER BY line) AS printed FROM r GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(printed, '') END AS printed FROM documents LEFT JOIN t USING (doc_id)""",
+    plain=True,
+)
+def printed_rows(v, spark, sf_dir):
+    """The words of every text as boxes, eight a row of a slightly turned page and in the order of a hash, put back into rows."""
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    x, y = lambda i: (i % 8) / 8.0, lambda i: F.floor(i / 8) * 0.03
+    box = lambda i: F.array(x(i), y(i) + (x(i) + 0.04) * 0.02, F.lit(0.08), F.lit(0.02))
+    boxes = F.transform(words, lambda w, i: F.struct(w.alias("text"), box(i).alias("box"), F.floor(i / 8).cast("int").alias("line")))
+    mixed = F.transform(F.array_sort(F.transform(boxes, lambda b: F.struct(F.xxhash64(b["text"], b["line"]).alias("h"), b.alias("b")))), lambda s: s["b"])
+    return with_printed_rows(table(spark, sf_dir, "documents").select("doc_id", mixed.alias("words")), "words").select("doc_id", "printed")
+
+
+@query(
+    sql="""SELECT vec_id AS id, reason, CASE WHEN reason IS NULL THEN least(1.0::DOUBLE, (vec_id % 30) / 10.0::DOUBLE) END AS flatness, CASE WHEN reason IS NULL THEN CAST(greatest(1, least(100, vec_id % 150)) AS INT) END AS jpeg_quality,
+    CASE WHEN reason IS NULL THEN concat('HOTEL ', label) END AS ocr_text, CASE WHEN reason IS NULL THEN round(list_sum(embedding::DOUBLE[]), 4) END AS total
+    FROM (SELECT *, CASE vec_id % 10 WHEN 0 THEN 'json' WHEN 1 THEN 'version' WHEN 2 THEN 'vector' WHEN 3 THEN 'core_hash' WHEN 4 THEN 'box' END AS reason FROM embeddings)""",
+    plain=True,
+)
+def parse_analyses(v, spark, sf_dir):
+    """Results of all embeddings as JSON, half of them with a fault of one kind."""
+    e = V.encode_vectors(table(spark, sf_dir, "embeddings"), "embedding").withColumn("k", F.col("vec_id") % 10)
+    clip = F.base64(F.when(F.col("k") == 2, F.substring("embedding", 1, 40)).otherwise(F.col("embedding")))
+    box = F.array(F.lit(0.1), F.lit(0.1), F.lit(0.2), F.when(F.col("k") == 4, 2.0).otherwise(0.1))
+    word = lambda t: F.struct(t.alias("text"), box.alias("box"), F.lit(0).alias("line"))
+    fields = F.struct(F.when(F.col("k") == 1, 5).otherwise(6).alias("version"), clip.alias("clip"), F.array(word(F.lit("HOTEL")), word(F.lit("")), word(F.col("label").cast("string"))).alias("words"), ((F.col("vec_id") % 30) / 10).alias("flatness"), (F.col("vec_id") % 150).alias("jpeg_quality"), F.when(F.col("k") == 3, "xyz").otherwise("0123456789abcdef").alias("core_hash"))
+    said = e.select(F.col("vec_id").alias("id"), F.when(F.col("k") == 0, "{not").otherwise(F.to_json(fields)).alias("json"))
+    size = table(spark, sf_dir, "embeddings").select(F.max(F.size("embedding"))).first()[0] or 1
+    good, bad = parse(said, size=size)
+    total = F.round(F.aggregate("clip", F.lit(0.0), lambda s, x: s + x.cast("double")), 4)
+    return good.select("id", F.lit(None).cast("string").alias("reason"), "flatness", "jpeg_quality", "ocr_text", total.alias("total")).unionByName(bad.select("id", "reason"), True)
+
+
 _FIXED = """CASE cast(regexp_extract(id, 'r([0-9]+)', 1) as bigint) % 10 WHEN 1 THEN '{"shop":"Corner Store","total":"12.5"}' WHEN 2 THEN '{"total":null}' WHEN 3 THEN '{"receipt":"false"}' WHEN 4 THEN '{"receipt":"true"}' END"""
 
 
