@@ -164,7 +164,23 @@ def carry_over_people(v, spark, sf_dir):
     return S.carry_over_people(old.select(F.concat(F.lit("n"), "id").alias("id"), "photo_id", changed.alias("embedding")), old)
 
 
-@query()
+@query(
+    "faces people",
+    """WITH RECURSIVE k AS (SELECT f.*, CAST(embedding AS DOUBLE[]) AS v FROM faces f JOIN embeddings ON id = concat('f', cast(vec_id as string))),
+    near AS (SELECT a.id AS a, b.id AS b, b.person_id AS person, list_inner_product(a.v, b.v) AS s FROM k a JOIN k b ON a.photo_id <> b.photo_id AND a.id <> b.id AND a.person_id IS NULL WHERE list_inner_product(a.v, b.v) >= 0.4),
+    score AS (SELECT a, person, max(s) AS s, any_value(name) AS name, any_value(coalesce(manual, false)) AS manual FROM near JOIN people ON people.id = person GROUP BY a, person),
+    fixed AS (SELECT a AS id, arg_min(person, struct_pack(s := -s, p := person)) AS person_id FROM score GROUP BY a HAVING bool_or(manual)),
+    free AS (SELECT * FROM score WHERE a NOT IN (SELECT id FROM fixed)),
+    e AS (SELECT concat('f:', a) AS x, concat('p:', person) AS y FROM free
+        UNION SELECT concat('f:', a), concat('f:', b) FROM near WHERE person IS NULL AND a NOT IN (SELECT id FROM fixed) AND b NOT IN (SELECT id FROM fixed)),
+    both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+    reach AS (SELECT x AS node, x AS other FROM both_ways UNION SELECT node, y FROM reach JOIN both_ways ON other = x),
+    member AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+    best AS (SELECT component, arg_min(person, struct_pack(n := name IS NULL, s := -s, p := person)) AS keep FROM free JOIN member ON node = concat('f:', a) GROUP BY component)
+    SELECT id, person_id FROM fixed
+    UNION ALL SELECT k.id, coalesce(keep, concat('new-', coalesce(component[3:], k.id))) FROM k LEFT JOIN member ON node = concat('f:', k.id) LEFT JOIN best USING (component) WHERE person_id IS NULL AND k.id NOT IN (SELECT id FROM fixed)
+    UNION ALL SELECT k.id, keep FROM k JOIN member ON node = concat('p:', person_id) JOIN best USING (component) WHERE keep <> person_id""",
+)
 def assign_people(v, spark, sf_dir):
     """Faces without a person, against all that have one."""
     faces = _faces(v, spark, sf_dir)
@@ -205,7 +221,12 @@ def smart_search(v, spark, sf_dir):
 
 def _auto(v, spark, sf_dir) -> DataFrame:
     c = _centroids(spark, sf_dir)
-    photos = v("photos").join(_photos(spark, sf_dir).select("id", "clip"), "id").withColumn("ocr_words", F.lit(None).cast("array<struct<text:string,box:array<double>,line:int>>"))
+    """Captions by photo number: 0 of 4 has one above and one below (4 of 8 with forty more words), 1 of 4 small ones, 2 of 4 one above alone."""
+    n = F.substring("id", 2, 20).cast("long")
+    word = lambda y, h, line: F.struct(F.lit("WORD").alias("text"), F.array(F.lit(0.1), F.lit(y), F.lit(0.8), F.lit(h)).alias("box"), F.lit(line).alias("line"))
+    caption = F.when(n % 4 == 0, F.array(word(0.05, 0.08, 0), word(0.85, 0.08, 1))).when(n % 4 == 1, F.array(word(0.05, 0.02, 0), word(0.85, 0.02, 1))).when(n % 4 == 2, F.array(word(0.05, 0.08, 0)))
+    words = F.when(n % 8 == 4, F.concat(caption, F.array_repeat(word(0.5, 0.02, 2), 40))).otherwise(caption)
+    photos = v("photos").join(_photos(spark, sf_dir).select("id", "clip"), "id").withColumn("ocr_words", words)
     return A.auto_albums(photos, v("faces"), {"pets": c[1], "animals": c[2], "beach": np.stack([c[3], c[4]])}, c[None], c[5], c[6])
 
 
@@ -223,6 +244,7 @@ def _auto(v, spark, sf_dir) -> DataFrame:
     UNION ALL SELECT 'documents', id, round(doc, 6) FROM s WHERE NOT shot AND (doc >= 0.035 OR len(words) >= 20
         OR len(list_filter(words, lambda x: regexp_matches(x, 'total|amount|invoice|receipt|qty|cash|change|gst|tax|bill'))) >= 2)
     UNION ALL SELECT 'screenshots', id, round(flatness, 6) FROM s WHERE shot
+    UNION ALL SELECT 'memes', id, 1.0::DOUBLE FROM s WHERE NOT shot AND CAST(substr(id, 2) AS BIGINT) % 8 = 0
     UNION ALL SELECT 'forwarded', id, 100.0::DOUBLE - jpeg_quality FROM s WHERE regexp_matches(filename, '(?i)^IMG-[0-9]{{8}}-WA[0-9]+') OR (content_type = 'image/jpeg' AND NOT camera AND jpeg_quality <= 70 AND greatest(width, height) <= 1600)
     UNION ALL SELECT 'people', photo_id, count(*)::DOUBLE FROM faces GROUP BY photo_id""",
 )
