@@ -22,16 +22,19 @@ URL_RULES = (
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and empty texts have fingerprint zero and are linked like any other."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every whole text by a net trained on labels of rows that are not held out; null and empty texts get a score too."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that a repeated run covers; null texts stay null, of equal rows the first keeps its text."""
     return spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -41,11 +44,13 @@ def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards of near equal bytes; equal texts stay together, a null text counts 8 bytes."""
     made = sharding.shard(table(spark, sf_dir, "documents"), 24)
     return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; null and empty texts have no words and fail the base rules."""
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     judged = quality.judge(docs.select("doc_id", "text"), model)
@@ -53,25 +58,30 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and entropy spans of every whole text; null texts are empty ones."""
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by a labeller trained on pages that name theirs; null and empty pages give an empty text."""
     pages = table(spark, sf_dir, "pages")
     return html.extract(pages, html.train(pages))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they contain; texts without a word contain none and are contained in none."""
     found = decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_shingles", "n_shared", "containment")
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict for every page's url; null urls and urls without :// have an empty host and path and are allowed."""
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return urlrules.judge(table(spark, sf_dir, "pages"), rules)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every document as digests; null texts are empty ones."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
