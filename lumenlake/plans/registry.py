@@ -91,6 +91,14 @@ def exact_pairs(v, spark, sf_dir):
     return P.exact_pairs(v("photos"))
 
 
+@query(
+    "photos",
+    "SELECT id AS photo_a, f AS photo_b, 'exact' AS kind, 1.0::DOUBLE AS similarity FROM (SELECT id, first(id) OVER (PARTITION BY sha256 ORDER BY uploaded_at, id) AS f FROM photos) WHERE id <> f",
+)
+def exact_stars(v, spark, sf_dir):
+    return P.exact_stars(v("photos"))
+
+
 @query(
     "photos",
     "SELECT f.sha256, arg_min(filename, struct_pack(u := uploaded_at, i := id)) AS filename FROM photos p JOIN (SELECT DISTINCT sha256 FROM photos WHERE favorite) f ON p.sha256 = f.sha256 GROUP BY f.sha256",

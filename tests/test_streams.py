@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumenlake.operators.pairs import exact_pairs, similar_pairs
+from lumenlake.sources import scratch
 from lumenlake.sources.analyses import parse_analyses
 from lumenlake.streaming import analyses, jobs
 
@@ -28,6 +29,7 @@ def test_uploads_meet_earlier_batches_and_their_own(spark, tmp_path):
         spark.createDataFrame(part, PHOTO).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
         stream = spark.readStream.schema(PHOTO).json(str(tmp_path / "in"))
         drain(jobs.stream_uploads(stream, str(tmp_path / "out")), tmp_path / "checkpoint")
+    assert not any("upload" in p for p in scratch._HELD)  # every batch has cleared its own tables
     want = exact_pairs(every).unionByName(similar_pairs(every))
     key = lambda df: sorted(tuple(r) for r in df.select("photo_a", "photo_b", "kind", "similarity").collect())
     found = jobs.stored(spark, str(tmp_path / "out"), "matches")
