@@ -186,9 +186,10 @@ def _row(mark: str) -> int:
     return crc32(mark.encode("utf-8", "surrogatepass")) % PATH_ROWS
 
 
-def path_rows(path: tuple[str, ...]) -> np.ndarray:
+def path_rows(path: Path | tuple[str, ...]) -> np.ndarray:
     """Each mark of the path, and its last two together."""
-    return np.array([_row(t) for t in [*path, "/".join(path[-2:])]], dtype=np.int64)
+    marks = tuple(path)
+    return np.array([_row(t) for t in [*marks, "/".join(marks[-2:])]], dtype=np.int64)
 
 
 def word_rows(text: str) -> np.ndarray:
