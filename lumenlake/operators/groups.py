@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenlake.operators.graph import connected_components
+from lumenlake.operators.graph import FEW, connected_components
 from lumenlake.operators.near_hashes import near_pairs
 from lumenlake.sources.scratch import materialise
 
@@ -31,7 +31,7 @@ def duplicate_groups(photos: DataFrame, matches: DataFrame) -> DataFrame:
     Rows are ranged by group and order, so that a large group is many sorted cells; no window holds a group's rows.
     """
     edges = matches.where(F.col("kind").isin("exact", "similar"))
-    member = connected_components(edges, "photo_a", "photo_b")
+    member = connected_components(edges, "photo_a", "photo_b", few=FEW)
     rows = photos.join(member.withColumnRenamed("node", "id"), "id")
     order = [F.col("component"), (F.col("width").cast("long") * F.col("height")).desc(), F.col("size").desc(), F.col("uploaded_at"), F.col("id")]
     rows = rows.select("component", "id", "sha256", "size", "sharpness", "width", "height", "uploaded_at")
@@ -74,7 +74,7 @@ def exact_copies_to_remove(photos: DataFrame) -> DataFrame:
 def related_groups(photos: DataFrame, matches: DataFrame, bursts: DataFrame) -> DataFrame:
     """component, id, similarity: groups by `subject` edges; photos of bursts leave after grouping, groups of one go."""
     edges = matches.where("kind = 'subject'")
-    member = connected_components(edges, "photo_a", "photo_b").withColumnRenamed("node", "id")
+    member = connected_components(edges, "photo_a", "photo_b", few=FEW).withColumnRenamed("node", "id")
     member = member.join(bursts.select("id").distinct(), "id", "left_anti").join(photos.select("id"), "id", "left_semi")
     best = both_ends(edges).groupBy("node").agg(F.max("similarity").alias("similarity")).withColumnRenamed("node", "id")
     member = of_two_or_more(member)
@@ -85,6 +85,6 @@ def meme_groups(photos: DataFrame, memes: DataFrame, distance: int = 10) -> Data
     """component, id: memes whose core hashes are near, in groups of two or more; equal hashes are one node."""
     own = photos.join(memes.select("id").distinct(), "id", "left_semi").where("core_hash is not null").select("id", F.col("core_hash").alias("h"))
     near = near_pairs(own.select("h").distinct(), distance)
-    member = own.join(connected_components(near).withColumnRenamed("node", "h"), "h", "left")
+    member = own.join(connected_components(near, few=FEW).withColumnRenamed("node", "h"), "h", "left")
     member = member.select("id", F.coalesce("component", "h").alias("component"))
     return of_two_or_more(member)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.functions.vectors import dot
-from lumenlake.operators.graph import connected_components
+from lumenlake.operators.graph import FEW, connected_components
 from lumenlake.operators.vector_index import close_pairs
 
 
@@ -63,7 +63,7 @@ def link_people(both: DataFrame, new_faces: DataFrame, people: DataFrame) -> tup
     face = both.where("person is null").join(fixed.select(F.col("id").alias("a")), "a", "left_anti").join(fixed.select(F.col("id").alias("b")), "b", "left_anti")
     node = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)
     edges = free.select(node("f", F.col("a")).alias("a"), node("p", F.col("person")).alias("b")).unionByName(face.select(node("f", F.col("a")).alias("a"), node("f", F.col("b")).alias("b")))
-    member = connected_components(edges)
+    member = connected_components(edges, few=FEW)
     best = free.select(node("f", F.col("a")).alias("node"), "person", "s", "name").join(member, "node")
     best = best.groupBy("component").agg(F.min_by("person", F.struct(F.col("name").isNull(), -F.col("s"), "person")).alias("keep"))
     named = member.join(best, "component", "left")
