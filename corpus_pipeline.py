@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm import bpe, decontaminate, quality, secrets, simhash
 from lumenlake.llm.queries import VOCABULARY
-from lumenlake.sources.scratch import discard, materialise, table
+from lumenlake.sources.scratch import discard, keep, materialise, scope, table
 
 #: Fitting, duplicates and candidate search have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -58,9 +58,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"pipeline-{k}")
-            discard(before)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with scope():  # what a stage writes on its way goes once its own table is there
+            docs = keep(materialise(stage(spark, docs, sf_dir), f"pipeline-{k}"))
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -56,6 +56,14 @@ def discard(*tables: DataFrame) -> None:
         _remove(getattr(df, "__dict__", {}).get("scratch", ""))
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """The table, taken out of the scope it was written in: its owner discards it."""
+    for held in _SCOPES:
+        if df.scratch in held:
+            held.remove(df.scratch)
+    return df
+
+
 @contextmanager
 def scope() -> Iterator[None]:
     """Tables that are materialised inside go at its end: for work whose results are written by then."""
