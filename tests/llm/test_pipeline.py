@@ -4,6 +4,7 @@ import hashlib
 
 import corpus_pipeline as C
 from lumenlake.llm import bpe
+from lumenlake.sources import scratch
 from tests.llm.test_llm import brute_base, brute_components, brute_fingerprint, odd_docs, reference_encoding
 
 
@@ -65,3 +66,9 @@ def test_one_id_on_two_texts_keeps_both_groups(spark, sf_dir):
     docs = spark.createDataFrame([(1, texts[0], "x"), (1, texts[1], "x"), (2, texts[1], "x"), (3, texts[2], "x"), (3, texts[2], "x")], "doc_id long, text string, _n string")
     out = C.near_dedup(spark, docs, sf_dir)
     assert out.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted([(1, texts[0]), (1, texts[1]), (3, texts[2])])
+
+
+def test_run_clears_the_tables_of_its_stages(spark, sf_dir):
+    before = set(scratch._HELD)
+    assert C.run(spark, sf_dir).count() > 0
+    assert [p.rsplit("/", 1)[1].split("-")[:2] for p in set(scratch._HELD) - before] == [["pipeline", "3"]]
