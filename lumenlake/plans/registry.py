@@ -574,7 +574,7 @@ def freed_bytes(v, spark, sf_dir):
 
 @query(
     "receipts",
-    rf"""WITH {_MARKED} SELECT coalesce(shop, '') AS "Shop", coalesce(date, '') AS "Date", total AS "Total", currency AS "Currency", upper(kind[1]) || kind[2:] AS "Kind", item || ' ' || regexp_replace(printf('%.2f', item_amount), '\.?0+$', '') AS "Items\", filename AS "Photo" FROM marked WHERE copy_of IS NULL""",
+    rf"""WITH {_MARKED} SELECT coalesce(shop, '') AS "Shop", coalesce(date, '') AS "Date", total AS "Total", currency AS "Currency", upper(kind[1]) || kind[2:] AS "Kind", item || ' ' || regexp_replace(printf('%.2f', item_amount), '\.?0+$', '') AS "Items", filename AS "Photo" FROM marked WHERE copy_of IS NULL""",
 )
 def export_receipts(v, spark, sf_dir):
     return M.export_receipts(_receipts(v))
