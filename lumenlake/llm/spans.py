@@ -102,9 +102,8 @@ def between(h: np.ndarray, first: np.ndarray, end: np.ndarray, base: int) -> np.
     return mix((sums[end] - sums[first]) * powers(pow(base, -1, 1 << 64), bits)[first] + (end - first).astype(np.uint64) * np.uint64(OTHER))
 
 
-def runs(h: np.ndarray, run: int, least: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(b: np.ndarray, run: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First sentence, end sentence, first word, end word: from every sentence `run` of them, more until they hold `least` words."""
-    b = bounds(h, window)
     lo = np.arange(len(b) - 1)
     hi = np.maximum(lo + run, np.searchsorted(b, b[:-1] + least))
     held = hi < len(b)
@@ -113,16 +112,20 @@ def runs(h: np.ndarray, run: int, least: int, window: int) -> tuple[np.ndarray,
 
 
 def marks(batches: Iterable[pa.RecordBatch], run: int, least: int, window: int) -> Iterator[pa.RecordBatch]:
-    """ident, row_key, text to a row for each run."""
+    """ident, row_key, text to a row for each run, and a row without h1 for each text whose place is its number of sentences."""
     known = remembered()
     for batch in batches:
-        parts = []
+        parts, sentences = [], []
         for row, text in enumerate(batch.column(2).to_pylist()):
             h = hashes_of(words_of(text), known)
-            lo, hi, first, end = runs(h, run, least, window)
+            b = bounds(h, window)
+            sentences.append(len(b) - 1)
+            lo, hi, first, end = runs(b, run, least)
             if len(lo):
                 h1 = between(h, first, end, BASE)
                 parts.append((row, h1, between(mix(h ^ np.uint64(OTHER)), first, end, BASE), lo * SPAN + (hi - lo)))
+        none = pa.nulls(len(sentences), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), batch.column(0), batch.column(1), pa.array(sentences, pa.int64())], schema=SCHEMA)
         if not parts:
             continue
         h1 = pa.array(np.concatenate([p[1] for p in parts]).view(np.int64))
@@ -139,7 +142,7 @@ def identity() -> tuple[Column, Column]:
 
 
 def occurrences(docs: DataFrame, run: int = RUN, least: int = LEAST, window: int = WINDOW) -> DataFrame:
-    """h1, h2 (96 bits of a run's words), ident, row_key, place: every run of the texts of docs (ident, row_key, text)."""
+    """h1, h2 (96 bits of a run's words), ident, row_key, place: every run of the texts of docs (ident, row_key, text), and each text's number of sentences."""
     if max(run, least) >= SPAN:
         raise ValueError(f"run and least have to be below {SPAN}")
     work = lambda batches: marks(batches, run, least, window)
@@ -147,7 +150,7 @@ def occurrences(docs: DataFrame, run: int = RUN, least: int = LEAST, window: int
 
 
 def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST, window: int = WINDOW) -> DataFrame:
-    """ident, row_key, covered: the places of the runs of each row that are not the first of their kind in the whole table.
+    """ident, row_key, n, covered: of each row the number of sentences and the places of its runs that are not the first of their kind in the whole table.
 
     docs: ident, row_key, text. The first is the smallest (ident, row_key, sentence); a later one may stand in
     the same text. Counts of 64-bit keys, added up in the tasks, tell the keys that come twice; only their
@@ -156,31 +159,31 @@ def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST, window:
     many texts hold; first places are added up in the tasks.
     """
     every = materialise(occurrences(docs, run, least, window), "span-runs")  # texts are cut and hashed once
-    twice = materialise(every.groupBy("h1").count().where("count > 1").select("h1"), "span-keys")
+    sentences = every.where("h1 is null").groupBy("ident", "row_key").agg(F.max("place").alias("n"))
+    twice = materialise(every.where("h1 is not null").groupBy("h1").count().where("count > 1").select("h1"), "span-keys")
     hits = materialise(every.join(twice.hint("merge"), "h1", "left_semi"), "span-hits")
-    discard(every)
     where = F.struct("ident", "row_key", "place")
     first = hits.groupBy("h1", "h2").agg(F.min(where).alias("first")).select("first.*", F.lit(True).alias("is_first"))
     both = hits.select("ident", "row_key", "place", F.lit(False).alias("is_first")).unionByName(first)
     own = both.groupBy("ident", "row_key").agg(F.collect_set("place").alias("all"), F.collect_set(F.when(F.col("is_first"), F.col("place"))).alias("firsts"))
     later = own.select("ident", "row_key", F.array_except("all", "firsts").alias("covered")).where(F.size("covered") > 0)
-    made = materialise(later, "span-covered")
-    discard(twice, hits)
+    made = materialise(sentences.join(later.hint("merge"), ["ident", "row_key"], "left"), "span-covered")
+    discard(every, twice, hits)
     return made
 
 
-def cut(text: str | None, lo: np.ndarray, hi: np.ndarray, known: Hashes, window: int = WINDOW) -> tuple[str | None, int, int]:
-    """The text without the sentences of the runs lo..hi (each goes with the white space after it), its sentences, and how many went."""
-    if not text:
-        return text, 0, 0
-    b = bounds(hashes_of(words_of(text), known), window)
-    n = len(b) - 1
-    if not len(lo) or not n:
-        return text, n, 0
+def cut(text: str | None, n: int, lo: np.ndarray, hi: np.ndarray, known: Hashes, window: int = WINDOW) -> tuple[str | None, int, int]:
+    """The text of n sentences without those of the runs lo..hi (each goes with the white space after it), n, and how many went.
+
+    Only texts that lose a part are cut into sentences again.
+    """
+    if not text or not len(lo) or not n:
+        return text, n if text else 0, 0
     deep = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
     gone = np.cumsum(deep)[:n] > 0
     if gone.all():
         return "", n, n
+    b = bounds(hashes_of(words_of(text), known), window)
     whole = text if DENSE.search(text) else text.encode("utf-8", "surrogatepass")
     turns = np.flatnonzero(np.diff(gone, prepend=True, append=True))  # where what stays begins and ends, in turns
     at = np.concatenate((beginnings(whole), [len(whole)]))[b]
@@ -207,20 +210,20 @@ def dedup_spans(docs: DataFrame, run: int = RUN, least: int = LEAST, window: int
     sentences; texts without repeats are unchanged. Columns n_sentences and n_removed of docs are replaced.
     """
     columns = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
-    ident, key, covered, made = fresh(docs, "ident", "row_key", "covered", "made")
+    ident, key, n, covered, made = fresh(docs, "ident", "row_key", "n", "covered", "made")
     one, two = identity()
     base = docs.select(one.alias("ident"), two.alias("row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    marked = repeated_spans(base, run, least, window).toDF(ident, key, covered)
+    marked = repeated_spans(base, run, least, window).toDF(ident, key, n, covered)
     keyed = docs.select(*[F.col(quoted(c)) for c in columns], one.alias(ident), two.alias(key))
 
-    def batch(texts: pa.Array, hits: pa.Array) -> pa.Array:
+    def batch(texts: pa.Array, sentences: pa.Array, hits: pa.Array) -> pa.Array:
         ends = np.cumsum(hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         place = hits.flatten().to_numpy()
         lo, hi = place // SPAN, place // SPAN + place % SPAN
-        rows = [cut(t, lo[a:b], hi[a:b], remembered(), window) for t, a, b in zip(texts.to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        rows = [cut(t, k, lo[a:b], hi[a:b], remembered(), window) for t, k, a, b in zip(texts.to_pylist(), sentences.fill_null(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()))], ["text", "n_sentences", "n_removed"])
 
     cutting = F.arrow_udf(batch, "struct<text:string,n_sentences:long,n_removed:long>")
-    done = keyed.join(marked.hint("merge"), [ident, key], "left").withColumn(made, cutting(F.col("text").cast("string"), F.col(covered)))
+    done = keyed.join(marked.hint("merge"), [ident, key], "left").withColumn(made, cutting(F.col("text").cast("string"), F.col(n), F.col(covered)))
     out = [F.col(f"{made}.text").alias(c) if c.lower() == "text" else F.col(quoted(c)) for c in columns]
     return done.select(*out, f"{made}.n_sentences", f"{made}.n_removed")

@@ -69,6 +69,7 @@ def test_places_beyond_32_bits(monkeypatch):
     monkeypatch.setattr(spans, "SPAN", 1 << 28)
     text = " ".join(f"word{k} ends." for k in range(40))
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0], pa.int32()), pa.array([text])], ["ident", "row_key", "text"])
-    (made,) = spans.marks([batch], spans.RUN, spans.LEAST, spans.WINDOW)
+    counted, made = spans.marks([batch], spans.RUN, spans.LEAST, spans.WINDOW)
+    assert counted.column("place").to_pylist() == [40] and counted.column("h1").null_count == 1
     places = made.column("place").to_numpy()
     assert (places > 0).all() and places.max() > 2**32 and (np.diff(places >> 28) == 1).all()
