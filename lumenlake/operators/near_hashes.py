@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.functions.hashes import hex_of, whole
+from lumenlake.sources.scratch import materialise
 
 BITS = 64
 #: A band's value that more hashes than this share is split by the bits outside the band.
-HEAVY = 4096
+HEAVY = 16_384
 
 
 @dataclass(frozen=True)
@@ -101,7 +102,9 @@ def near_pairs(hashes: DataFrame, distance: int, shape: str | None = None, bands
     keys = ["band", "value", "near"]
     if n <= heavy:  # no value can be shared by more
         return _named(_met(build, probe, keys, distance), shape)
-    many = build.groupBy(*keys).count().where(F.col("count") > heavy).select(*keys)
+    many = materialise(build.groupBy(*keys).count().where(F.col("count") > heavy).select(*keys), "heavy-values")  # at most entries / heavy rows
+    if many.isEmpty():
+        return _named(_met(build, probe, keys, distance), shape)
     inner = Bands.of(3, distance, BITS - max(w for _, w in bands.bands))
     inner = Bands(tuple((s, w) for s, w in inner.bands[:-1]) + ((inner.bands[-1][0], BITS - min(w for _, w in bands.bands) - inner.bands[-1][0]),), inner.build, inner.probe)
     deep = ("inner", "part")

@@ -17,7 +17,7 @@ from lumenlake.operators.edits import normalise_fixes as normalise
 from lumenlake.plans.register import query
 from lumenlake.plans.views import PAD
 from lumenlake.sources.analyses import parse_analyses as parse
-from lumenlake.sources.scratch import table
+from lumenlake.sources.scratch import materialise, table
 
 
 @query()
@@ -121,7 +121,8 @@ def all_receipts(v, spark, sf_dir):
     least = [F.min(c).alias(c) for c in ("shop", "date", "total", "currency", "item", "item_amount", "sharpness", "uploaded_at", "size", "filename")]
     photos = v("receipts").groupBy("id").agg(*least)  # ids repeat in the view
     photos = photos.withColumn("ocr_text", _written()).withColumn("receipt_fix", F.from_json(F.expr(_FIXED), "map<string,string>"))
-    made = M.all_receipts(photos.select("id", "ocr_text", "receipt_fix", "sharpness", "uploaded_at", "size", "filename").repartition("id"))
+    photos = photos.select("id", "ocr_text", "receipt_fix", "sharpness", "uploaded_at", "size", "filename").repartition("id")
+    made = M.all_receipts(materialise(photos, "receipt-photos"))  # a table, as a catalogue has it, not a view that is made three times
     return made.select("id", "shop", "date", "total", "currency", F.array_join("edited", ",").alias("edited"), "copy_of")
 
 
