@@ -66,11 +66,10 @@ def _low(width: Column) -> Column:
 def entries(rows: DataFrame, x: Column, bands: Bands, flips: int, names: tuple[str, str]) -> DataFrame:
     """rows, one for each band and each flip of at most `flips` of its bits: the number of the band and the value with the flip."""
     number, value = names
-    shapes = F.from_json(F.lit(json.dumps([{"k": k, "s": s, "w": w} for k, (s, w) in enumerate(bands.bands)])), "array<struct<k:int,s:int,w:int>>")
+    parts = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(x, s).bitwiseAND(F.lit((1 << w) - 1)).alias("v"), F.lit((1 << w) - 1).cast("long").alias("most")) for k, (s, w) in enumerate(bands.bands)])
     flip = F.from_json(F.lit(json.dumps(masks(max(w for _, w in bands.bands), flips))), "array<bigint>")
-    made = rows.withColumn("_x", x).withColumn("_b", F.explode(shapes)).withColumn("_m", F.explode(flip)).where(F.col("_m") <= _low(F.col("_b.w")))
-    part = _shift("shiftrightunsigned", F.col("_x"), F.col("_b.s")).bitwiseAND(_low(F.col("_b.w")))
-    return made.withColumn(number, F.col("_b.k")).withColumn(value, part.bitwiseXOR(F.col("_m"))).drop("_x", "_b", "_m")
+    made = rows.withColumn("_b", F.explode(parts)).withColumn("_m", F.explode(flip)).where(F.col("_m") <= F.col("_b.most"))
+    return made.withColumn(number, F.col("_b.k")).withColumn(value, F.col("_b.v").bitwiseXOR(F.col("_m"))).drop("_b", "_m")
 
 
 def _rest(bands: Bands) -> Column:
@@ -90,6 +89,7 @@ def near_pairs(hashes: DataFrame, distance: int, shape: str | None = None, bands
     bits. Of the rows that meet, those at a greater distance go at once; a pair that met several times comes once.
     """
     rows = hashes.select(whole(F.col("h")).alias("x"), *([F.col(shape).cast("int").alias("shape")] if shape else [F.lit(0).alias("shape")]))
+    rows = materialise(rows, "near-hashes")  # both sides of the join and the counts read it
     n = rows.count()
     bands = bands or plan(n, distance)
     names = ("band", "value")

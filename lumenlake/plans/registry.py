@@ -18,7 +18,7 @@ from lumenlake.operators.vector_index import close_pairs
 from lumenlake.plans import analysed, streams  # noqa: F401  register their queries
 from lumenlake.plans.register import ORACLES, QUERIES, query  # noqa: F401
 from lumenlake.plans.views import PAD
-from lumenlake.sources.scratch import table
+from lumenlake.sources.scratch import materialise, table
 
 # --- duplicates ---------------------------------------------------------------------------------------
 
@@ -133,7 +133,7 @@ def hashed_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
         b = F.concat(head, F.substr(F.col(name), n + 1))
         return F.lower(F.concat(*[F.lpad(F.conv(F.substring(b, k, 16), 2, 16), 4, "0") for k in (1, 17, 33, 49)]))
 
-    return e.select(
+    photos = e.select(
         F.concat(F.lit("h"), F.lpad((F.col("vec_id") * 10 + F.col("variant")).cast("string"), 9, "0")).alias("id"),
         F.sha2(F.concat_ws(":", "vec_id", "kind"), 256).alias("sha256"),
         flipped("s", (0, 5, 10, 11)).alias("phash"),
@@ -142,6 +142,7 @@ def hashed_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(800).alias("height"),
         F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("uploaded_at"),
     )
+    return materialise(photos, "hashed-photos")  # a table, as a catalogue has it
 
 
 _H = r"""
