@@ -95,8 +95,8 @@ def near_pairs(hashes: DataFrame, distance: int, shape: str | None = None, bands
     names = ("band", "value")
     build, probe = entries(rows, F.col("x"), bands, bands.build, names), entries(rows, F.col("x"), bands, bands.probe, names)
     if shape:
-        probe = probe.withColumn("near", F.explode(F.array(F.col("shape") - 1, F.col("shape"), F.col("shape") + 1)))
-        build = build.withColumn("near", F.col("shape"))
+        build = build.withColumn("near", F.explode(F.array(F.col("shape") - 1, F.col("shape"), F.col("shape") + 1)))  # the side with fewer flips
+        probe = probe.withColumn("near", F.col("shape"))
     else:
         build, probe = build.withColumn("near", F.lit(0)), probe.withColumn("near", F.lit(0))
     keys = ["band", "value", "near"]
@@ -123,8 +123,11 @@ def _named(met: DataFrame, shape: str | None) -> DataFrame:
 
 
 def _met(build: DataFrame, probe: DataFrame, keys: list[str], distance: int) -> DataFrame:
-    """xa, xb, d, shape_a, shape_b of the rows that meet and are near. A pair meets in both directions; one of them stays."""
+    """xa, xb, d, shape_a, shape_b of the rows that meet and are near. A pair meets in both directions; one of them stays.
+
+    Both sides are sorted: planned sizes leave out what explode makes of a row, and a side sent whole would go through the driver.
+    """
     one = probe.select(*keys, F.col("x").alias("xa"), F.col("shape").alias("shape_a"))
     two = build.select(*keys, F.col("x").alias("xb"), F.col("shape").alias("shape_b"))
-    met = one.join(two, keys).withColumn("d", F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))))
+    met = one.join(two.hint("merge"), keys).withColumn("d", F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))))
     return met.where((F.col("d") <= distance) & (F.struct("xa", "shape_a") < F.struct("xb", "shape_b"))).select("xa", "xb", "d", "shape_a", "shape_b")

@@ -58,3 +58,11 @@ def test_rows_a_hash_grow_less_than_the_hashes(spark):
     df = spark.createDataFrame([(k,) for k in hashes(200, 5) if k < 1 << 63], "x long")
     b = Bands.of(4, 10)
     assert entries(df, F.col("x"), b, b.build, ("n", "v")).count() + entries(df, F.col("x"), b, b.probe, ("n", "v")).count() == df.count() * b.entries
+
+
+@pytest.mark.parametrize("shape", [None, "shape"])
+def test_no_side_goes_through_the_driver(spark, shape):
+    """A small table is many rows once its flips are there: the join that they meet in sends neither side whole."""
+    df = spark.createDataFrame([(f"{x:016x}", k % 3) for k, x in enumerate(hashes(200, 6))], "h string, shape int")
+    made = near_pairs(df, 10, shape)
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString() and made.count() > 50
