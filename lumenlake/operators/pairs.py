@@ -43,7 +43,8 @@ def similar_pairs(photos: DataFrame, phash: int = 10, dhash: int = 12, aspect: f
     nodes = kinds.select(F.col("phash").alias("h"), "shape").where("h is not null and shape is not null").distinct()
     near = near_pairs(nodes, phash, "shape")
     own = nodes.select(F.col("h").alias("a"), F.col("h").alias("b"), F.lit(0).alias("d"), F.col("shape").alias("shape_a"), F.col("shape").alias("shape_b"))
-    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d", F.col("shape_b").alias("shape_a"), F.col("shape_a").alias("shape_b"))).unionByName(own)
+    way = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"), "d", F.col(f"shape_{x}").alias("shape_a"), F.col(f"shape_{y}").alias("shape_b"))
+    near = near.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("w")).select("w.*").unionByName(own)
     left, right = (kinds.select(*[F.col(c).alias(f"{c}_{k}") for c in cols], F.col("shape").alias(f"shape_{e}")) for k, e in ((1, "a"), (2, "b")))
     near = near.withColumnsRenamed({"a": "phash_1", "b": "phash_2"})
     joined = left.join(near, ["phash_1", "shape_a"]).join(right, ["phash_2", "shape_b"])
