@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenlake.functions.text import COMMON_WORDS, search_words, squeeze, title
+from lumenlake.sources.scratch import materialise
 
 # Names of screenshots and forwarded photos, receipt words, words that name no album.
 SCREENSHOT_NAME = r"(?i)screen ?shot|screen[_-]?capture|scrnli"
@@ -23,6 +24,10 @@ NOT_NAMES = (
 )
 
 
+#: Photos of one selection that one task counts the words of.
+PHOTOS_A_TASK = 10_000
+
+
 def best_scores(vector: str, sets: Sequence[np.ndarray]) -> Column:
     """array<double>: for each set of unit vectors the largest inner product with the row's vector (double precision)."""
     tables = [np.atleast_2d(np.asarray(s, dtype=float)) for s in sets]
@@ -114,22 +119,31 @@ def suggest_album_names(selection: DataFrame, photos: DataFrame, auto: DataFrame
     Two words written on most photos (two photos at least, one for a single photo), the automatic album that
     holds half of them, the month or the year that all camera dates share. Ties: first seen by photo id and place.
     """
-    own = selection.dropDuplicates(["album_id", "photo_id"]).join(photos.select(F.col("id").alias("photo_id"), "ocr_text", "taken_at"), "photo_id")
-    size = own.groupBy("album_id").agg(
-        F.count("*").alias("n"),
-        F.min(F.substring("taken_at", 1, 7)).alias("m1"),
-        F.max(F.substring("taken_at", 1, 7)).alias("m2"),
-    )
-    word = own.select("album_id", "photo_id", F.posexplode(F.regexp_extract_all(F.coalesce("ocr_text", F.lit("")), F.lit(r"[\p{L}\p{Nl}\p{No}]{3,}"), 0)).alias("at", "word"))
+    dated = photos.select(F.col("id").alias("photo_id"), F.substring("taken_at", 1, 7).alias("month"))
+    own = materialise(selection.select("album_id", "photo_id").distinct().join(dated, "photo_id"), "album-photos")
+    size = materialise(own.groupBy("album_id").agg(F.count("*").alias("n"), F.min("month").alias("m1"), F.max("month").alias("m2")), "album-sizes")
+    # the words of a photo are found once, in however many selections it is; `o` is a word's place in the order of photo and place
+    used = photos.select("id", "ocr_text").join(own.select(F.col("photo_id").alias("id")).distinct(), "id", "left_semi")
+    word = used.select(F.col("id").alias("photo_id"), F.posexplode(F.regexp_extract_all(F.coalesce("ocr_text", F.lit("")), F.lit(r"[\p{L}\p{Nl}\p{No}]{3,}"), 0)).alias("at", "word"))
     word = word.withColumn("key", F.lower("word")).where(~F.col("key").isin(*COMMON_WORDS, *NOT_NAMES))
-    once = word.groupBy("album_id", "photo_id", "key").agg(F.min(F.struct("at", "word")).alias("w"))
-    order = F.struct("photo_id", "w.at")
-    capital = F.col("w.word").rlike(r"^\p{Lu}")
-    count = once.groupBy("album_id", "key").agg(F.count("*").alias("photos"), F.min(order).alias("first"), F.min_by("w.word", F.when(capital, order)).alias("big"), F.max_by("w.word", order).alias("late"))
-    count = count.join(size.select("album_id", "n"), "album_id").where(F.col("photos") >= F.when(F.col("n") > 1, 2).otherwise(1))
+    once = word.groupBy("photo_id", "key").agg(F.min(F.struct("at", "word")).alias("w"))
+    once = once.repartitionByRange("photo_id", "w.at").sortWithinPartitions("photo_id", "w.at")
+    once = materialise(once.select("photo_id", "key", F.col("w.word").alias("word"), F.monotonically_increasing_id().alias("o")), "photo-words")
+    keys = materialise(once.select("key").distinct().withColumn("k", F.monotonically_increasing_id()), "photo-word-keys")  # numbers are counted, not strings
+    each = F.struct("k", "o", F.when(F.col("word").rlike(r"^\p{Lu}"), F.col("o")).alias("big"))
+    held = materialise(once.join(keys, "key").groupBy("photo_id").agg(F.collect_list(each).alias("words")), "words-by-photo")
+    # selections are counted where they are dealt; a large one is dealt in parts, which are added up
+    parts = F.ceil(F.col("n") / PHOTOS_A_TASK)
+    dealt = own.join(size.select("album_id", "n"), "album_id").withColumn("part", F.pmod(F.xxhash64("photo_id"), parts)).select("album_id", "photo_id", "n", "part").repartition("album_id", "part")
+    count = dealt.join(held, "photo_id").select("album_id", "n", "part", F.explode("words").alias("t")).select("album_id", "n", "part", "t.*")
+    count = count.groupBy("album_id", "n", "part", "k").agg(F.count("*").alias("photos"), F.min("o").alias("first"), F.min("big").alias("big"), F.max("o").alias("late"))
+    least = F.when(F.col("n") > 1, 2).otherwise(1)
+    count = count.where((F.col("photos") >= least) | (F.col("n") > PHOTOS_A_TASK))
+    count = count.groupBy("album_id", "n", "k").agg(F.sum("photos").alias("photos"), F.min("first").alias("first"), F.min("big").alias("big"), F.max("late").alias("late")).where(F.col("photos") >= least)
     place = F.row_number().over(Window.partitionBy("album_id").orderBy(F.desc("photos"), "first"))
-    shown = F.coalesce("big", "late")
-    top = count.withColumn("place", place).where("place <= 2").select("album_id", "place", F.when((F.upper(shown) == shown) & (F.lower(shown) != shown), title(shown)).otherwise(shown).alias("name"))
+    top = count.withColumn("place", place).where("place <= 2").select("album_id", "place", F.coalesce("big", "late").alias("o"))
+    shown = F.col("word")
+    top = top.join(once.select("o", "word"), "o").select("album_id", "place", F.when((F.upper(shown) == shown) & (F.lower(shown) != shown), title(shown)).otherwise(shown).alias("name"))
     top = top.groupBy("album_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("words"))
     held = own.select("album_id", F.col("photo_id").alias("id")).join(auto, "id").groupBy("album_id", "album").agg(F.count_distinct("id").alias("k"))
     held = held.groupBy("album_id").agg(F.max(F.struct("k", "album")).alias("h"))

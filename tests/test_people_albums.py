@@ -91,6 +91,20 @@ def test_album_names(spark):
     assert got == ["Goa", "Beach", "May 2025"]
 
 
+def test_words_of_a_photo_are_found_once(spark, monkeypatch):
+    """However many selections hold it; and a selection that is counted in parts has the same names."""
+    rows = [(f"{k:02}", f"Harbour {'LIGHT' if k % 2 else 'light'} number {'abcdefghij'[k % 10] * 3}", "2025-05-01T10:00:00") for k in range(40)]
+    shot = spark.createDataFrame(rows, "id string, ocr_text string, taken_at string")
+    chosen = spark.createDataFrame([(f"a{a}", f"{k:02}") for a in range(5) for k in range(a, 40, a + 1)], "album_id string, photo_id string")
+    auto = spark.createDataFrame([], "album string, id string")
+    made = A.suggest_album_names(chosen, shot, auto)
+    assert "ocr_text" not in made._jdf.queryExecution().executedPlan().toString()
+    want = {(r["album_id"], *r["names"]) for r in made.collect()}
+    monkeypatch.setattr(A, "PHOTOS_A_TASK", 3)
+    assert {(r["album_id"], *r["names"]) for r in A.suggest_album_names(chosen, shot, auto).collect()} == want
+    assert ("a0", "Harbour", "light", "May 2025") in want
+
+
 def test_meme_groups(spark):
     df = spark.createDataFrame([("a", "00000000000000ff"), ("b", "00000000000000fe"), ("c", "ffffffff00000000"), ("d", None)], "id string, core_hash string")
     assert {r["id"] for r in meme_groups(df, df.select("id")).collect()} == {"a", "b"}
