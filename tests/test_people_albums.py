@@ -102,7 +102,7 @@ def test_words_of_a_photo_are_found_once(spark, monkeypatch):
     want = {(r["album_id"], *r["names"]) for r in made.collect()}
     monkeypatch.setattr(A, "PHOTOS_A_TASK", 3)
     assert {(r["album_id"], *r["names"]) for r in A.suggest_album_names(chosen, shot, auto).collect()} == want
-    assert ("a0", "Harbour", "light", "May 2025") in want
+    assert ("a0", "Harbour", "Light", "May 2025") in want
 
 
 def test_meme_groups(spark):
