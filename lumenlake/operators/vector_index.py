@@ -242,6 +242,27 @@ def close_pairs(df: DataFrame, threshold: float, key: str = "id", vector: str =
     return rows.groupBy("task").applyInPandas(multiply, f"a {kind}, b {kind}, similarity double")
 
 
+def holding(i: np.ndarray, j: np.ndarray, s: np.ndarray, label: np.ndarray, parent: list[int], second: int) -> np.ndarray:
+    """Pairs (by number) that hold rows and labels together as all pairs do: the most similar one of each row i and label of j,
+    and of pairs without a label (-1) those that join two groups. parent: groups so far; row j is node second + j."""
+    out = np.zeros(len(i), dtype=bool)
+    order = np.lexsort((-s, label[j], i))
+    order = order[label[j[order]] >= 0]
+    if len(order):
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (i[order][1:] != i[order][:-1]) | (label[j[order]][1:] != label[j[order]][:-1])
+        out[order[new]] = True
+    free = np.flatnonzero(label[j] < 0)
+    for k, a, b in zip(free.tolist(), i[free].tolist(), (second + j[free]).tolist(), strict=True):
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if a != b:
+            parent[a], out[k] = b, True
+    return np.flatnonzero(out)
+
+
 # --- an index that grows -----------------------------------------------------------------------------
 
 
@@ -311,9 +332,10 @@ class StoredVectors:
         found = self._read(f"rows-{self.tree_of}", f"{self.kind}, cell int, angle double, size double, leaf int", self.number)
         return found if leaves is None else found.where(F.col("leaf").isin(leaves))
 
-    def meet(self, batch: DataFrame, threshold: float, rows_a_block: int = 8192) -> DataFrame:
+    def meet(self, batch: DataFrame, threshold: float, rows_a_block: int = 8192, label: str | None = None) -> DataFrame:
         """a, b, similarity, fresh and b's payload: rows b of the batch (fresh; a < b) or stored before with an inner product of at
-        least `threshold` with a row a of the batch; rows of one g never pair. open() goes before."""
+        least `threshold` with a row a of the batch; rows of one g never pair. open() goes before.
+        label: a payload column; then no more pairs of a task than hold its rows and labels together (see holding)."""
         kind = f"a string, b string, similarity double, fresh boolean, {', '.join(f'{c} {t}' for c, t in self.payload.items())}".rstrip(", ")
         if not len(self.tree.leaves):
             return self.spark.createDataFrame([], kind)
@@ -336,10 +358,14 @@ class StoredVectors:
             made = []
             if len(left) and len(right):
                 ka, kb, ga, gb, new = left["key"].to_numpy(), right["key"].to_numpy(), left["g"].to_numpy(), right["g"].to_numpy(), right["fresh"].to_numpy()
+                labels, parent = pd.factorize(right[label])[0] if label else None, list(range(len(left) + len(right)))
                 for i, j, s in products(np.stack(left["v"].to_list()), np.stack(right["v"].to_list()), threshold):
                     keep = (ga[i] != gb[j]) & np.where(new[j], ka[i] < kb[j], ka[i] != kb[j])
-                    i, j = i[keep], j[keep]
-                    made.append(pd.DataFrame({"a": ka[i], "b": kb[j], "similarity": s[keep], "fresh": new[j]} | {c: right[c].to_numpy()[j] for c in payload}))
+                    i, j, s = i[keep], j[keep], s[keep]
+                    if label:
+                        keep = holding(i, j, s, labels, parent, len(left))
+                        i, j, s = i[keep], j[keep], s[keep]
+                    made.append(pd.DataFrame({"a": ka[i], "b": kb[j], "similarity": s, "fresh": new[j]} | {c: right[c].to_numpy()[j] for c in payload}))
             return pd.concat(made) if made else pd.DataFrame({c: pd.Series(dtype=object) for c in ["a", "b", "similarity", "fresh", *payload]})
 
         keys = ["block", "part"]

@@ -104,7 +104,9 @@ def _people(at: Analyses, good: DataFrame, replaced: DataFrame, people: DataFram
     index = StoredVectors(at.spark, f"{at.root}/face_vectors", {"photo": "string", "person": "string", "batch": "int"})
     rows = faces.select(F.col("id").alias("key"), F.col("photo_id").alias("g"), F.col("embedding").alias("v"), F.col("photo_id").alias("photo"), F.lit(None).cast("string").alias("person"), F.lit(at.number).alias("batch"))
     index.open(rows, at.number)
-    near = materialise(_current(index.meet(rows, t), replaced, "photo", "batch"), "face-pairs")
+    # people made by hand and faces that go or keep a person take single pairs out; else the groups are all that counts
+    plain = people is None and replaced.isEmpty()
+    near = materialise(_current(index.meet(rows, t, label="person" if plain else None), replaced, "photo", "batch"), "face-pairs")
     old = at.bucketed("faces", FACE, again).join(again.withColumnRenamed("id", "photo_id"), "photo_id", "left_semi")
     last = old.groupBy("photo_id").agg(F.max("batch_id").alias("batch_id"))  # the analysis before this one
     old = materialise(old.join(last, ["photo_id", "batch_id"]), "faces-before")

@@ -169,3 +169,29 @@ def test_a_batch_reads_only_the_leaves_it_may_meet_and_trees_grow(spark, tmp_pat
     assert near == {k for k, x in v.items() if x @ new >= 0.9} and len(near) > 30
     assert index.rows(index.read).count() < 0.4 * len(stored) == 0.4 * index.rows().count()
     assert index.tree_of == 2 and len(os.listdir(tmp_path / "trees")) >= 2  # planted for 40, anew for 440
+
+
+def test_pairs_that_hold_the_groups(spark, tmp_path):
+    """Of a dense table few pairs are given on: as many groups, and the same greatest similarity of each row and label."""
+    from lumenlake.operators.graph import connected_components
+
+    rng = np.random.default_rng(5)
+    rows = [(f"k{k:03d}", f"k{k:03d}", [float(x) for x in rng.normal(size=4)], None if k >= 60 else f"n{k % 3}") for k in range(120)]
+    df = spark.createDataFrame(rows, "key string, g string, v array<float>, person string")
+    index = StoredVectors(spark, str(tmp_path / "v"), {"person": "string"})
+    index.open(df.where("person is not null"), 0)
+    index.meet(df.where("person is not null"), 1.0).count()
+    index.add()
+    new = df.where("person is null")
+    index.open(new, 1)
+    every, few = index.meet(new, 1.0).collect(), index.meet(new, 1.0, label="person").collect()
+    best = [{}, {}]
+    for held, found_ in zip(best, (every, few), strict=True):
+        for r in found_:
+            if r["person"]:
+                held[r["a"], r["person"]] = max(held.get((r["a"], r["person"]), 0), r["similarity"])
+    assert best[0] == best[1] and sum(bool(r["person"]) for r in few) == len(best[0]) < sum(bool(r["person"]) for r in every) / 2
+    fresh = [[(r["a"], r["b"]) for r in x if r["fresh"]] for x in (every, few)]
+    assert set(fresh[1]) < set(fresh[0]) and len(fresh[1]) < len(fresh[0]) / 2
+    groups = [{(r["node"], r["component"]) for r in connected_components(spark.createDataFrame(x, "a string, b string")).collect()} for x in fresh]
+    assert groups[0] == groups[1]
