@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,8 +25,8 @@ NOT_NAMES = (
 )
 
 
-#: Photos of one selection that one task counts the words of.
-PHOTOS_A_TASK = 10_000
+#: Photos of one selection that one task counts the words of, and words of photos that a task counts in all; so many are counted at once.
+PHOTOS_A_TASK, WORDS_A_TASK, STEP = 10_000, 8_000_000, 1 << 20
 
 
 def best_scores(vector: str, sets: Sequence[np.ndarray]) -> Column:
@@ -119,33 +120,28 @@ def suggest_album_names(selection: DataFrame, photos: DataFrame, auto: DataFrame
     Two words written on most photos (two photos at least, one for a single photo), the automatic album that
     holds half of them, the month or the year that all camera dates share. Ties: first seen by photo id and place.
     """
-    dated = photos.select(F.col("id").alias("photo_id"), F.substring("taken_at", 1, 7).alias("month"))
-    own = materialise(selection.select("album_id", "photo_id").distinct().join(dated, "photo_id"), "album-photos")
-    size = materialise(own.groupBy("album_id").agg(F.count("*").alias("n"), F.min("month").alias("m1"), F.max("month").alias("m2")), "album-sizes")
+    chosen = materialise(selection.select("album_id", "photo_id").distinct(), "album-photos")
     # the words of a photo are found once, in however many selections it is; `o` is a word's place in the order of photo and place
-    used = photos.select("id", "ocr_text").join(own.select(F.col("photo_id").alias("id")).distinct(), "id", "left_semi")
+    used = photos.select("id", "ocr_text").join(chosen.select(F.col("photo_id").alias("id")).distinct(), "id", "left_semi")
     word = used.select(F.col("id").alias("photo_id"), F.posexplode(F.regexp_extract_all(F.coalesce("ocr_text", F.lit("")), F.lit(r"[\p{L}\p{Nl}\p{No}]{3,}"), 0)).alias("at", "word"))
     word = word.withColumn("key", F.lower("word")).where(~F.col("key").isin(*COMMON_WORDS, *NOT_NAMES))
     once = word.groupBy("photo_id", "key").agg(F.min(F.struct("at", "word")).alias("w"))
-    once = once.repartitionByRange("photo_id", "w.at").sortWithinPartitions("photo_id", "w.at")
+    once = once.repartitionByRange("photo_id").sortWithinPartitions("photo_id", "w.at")  # a photo's words have numbers one after another
     once = materialise(once.select("photo_id", "key", F.col("w.word").alias("word"), F.monotonically_increasing_id().alias("o")), "photo-words")
     keys = materialise(once.select("key").distinct().withColumn("k", F.monotonically_increasing_id()), "photo-word-keys")  # numbers are counted, not strings
-    each = F.struct("k", "o", F.when(F.col("word").rlike(r"^\p{Lu}"), F.col("o")).alias("big"))
-    held = materialise(once.join(keys, "key").groupBy("photo_id").agg(F.collect_list(each).alias("words")), "words-by-photo")
-    # selections are counted where they are dealt; a large one is dealt in parts, which are added up
-    parts = F.ceil(F.col("n") / PHOTOS_A_TASK)
-    dealt = own.join(size.select("album_id", "n"), "album_id").withColumn("part", F.pmod(F.xxhash64("photo_id"), parts)).select("album_id", "photo_id", "n", "part").repartition("album_id", "part")
-    count = dealt.join(held, "photo_id").select("album_id", "n", "part", F.explode("words").alias("t")).select("album_id", "n", "part", "t.*")
-    count = count.groupBy("album_id", "n", "part", "k").agg(F.count("*").alias("photos"), F.min("o").alias("first"), F.min("big").alias("big"), F.max("o").alias("late"))
-    least = F.when(F.col("n") > 1, 2).otherwise(1)
-    count = count.where((F.col("photos") >= least) | (F.col("n") > PHOTOS_A_TASK))
-    count = count.groupBy("album_id", "n", "k").agg(F.sum("photos").alias("photos"), F.min("first").alias("first"), F.min("big").alias("big"), F.max("late").alias("late")).where(F.col("photos") >= least)
-    place = F.row_number().over(Window.partitionBy("album_id").orderBy(F.desc("photos"), "first"))
-    top = count.withColumn("place", place).where("place <= 2").select("album_id", "place", F.coalesce("big", "late").alias("o"))
+    each = F.struct("o", (F.col("k") * 2 + F.col("word").rlike(r"^\p{Lu}").cast("int")).alias("word"))
+    held = once.join(keys, "key").groupBy("photo_id").agg(F.min("o").alias("o"), F.count("*").alias("w"), F.transform(F.sort_array(F.collect_list(each)), lambda x: x["word"]).alias("words"))
+    held = materialise(held, "words-by-photo")
+    known = photos.select(F.col("id").alias("photo_id"), F.substring("taken_at", 1, 7).alias("month"))
+    shown = auto.select(F.col("id").alias("photo_id"), "album").groupBy("photo_id").agg(F.collect_set("album").alias("shown"))
+    own = chosen.join(known, "photo_id").join(held.select("photo_id", "o", "w"), "photo_id", "left").join(shown, "photo_id", "left")
+    own = materialise(own.select("album_id", "month", "o", "w", "shown").hint("rebalance", "album_id"), "album-photos-known")
+    size = materialise(own.groupBy("album_id").agg(F.count("*").alias("n"), F.min("month").alias("m1"), F.max("month").alias("m2"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")), "album-sizes")
+    top = _top_words(own.where("o is not null").select("album_id", "o"), size, held.select("o", "words"))
     shown = F.col("word")
     top = top.join(once.select("o", "word"), "o").select("album_id", "place", F.when((F.upper(shown) == shown) & (F.lower(shown) != shown), title(shown)).otherwise(shown).alias("name"))
     top = top.groupBy("album_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("words"))
-    held = own.select("album_id", F.col("photo_id").alias("id")).join(auto, "id").groupBy("album_id", "album").agg(F.count_distinct("id").alias("k"))
+    held = own.select("album_id", F.explode("shown").alias("album")).groupBy("album_id", "album").agg(F.count("*").alias("k"))
     held = held.groupBy("album_id").agg(F.max(F.struct("k", "album")).alias("h"))
     out = size.join(top, "album_id", "left").join(held, "album_id", "left")
     called = F.col("h.album")
@@ -156,3 +152,71 @@ def suggest_album_names(selection: DataFrame, photos: DataFrame, auto: DataFrame
     date = F.when(F.col("m1") == F.col("m2"), F.date_format(F.try_to_date(F.concat("m1", F.lit("-01")), "yyyy-MM-dd"), "MMMM yyyy")).when(same_year, F.substring("m1", 1, 4))
     names = F.array_distinct(F.array_compact(F.concat(F.coalesce("words", F.array().cast("array<string>")), F.array(album, date))))
     return out.select("album_id", F.slice(names, 1, 4).alias("names"))
+
+
+def _top_words(own: DataFrame, size: DataFrame, held: DataFrame) -> DataFrame:
+    """album_id, place (1, 2), o (of the word to show). own: album_id and the photo's number o; size: album_id, n, w; held: o and words of each photo.
+
+    Selections are dealt to tasks with the words of the photos that they hold, each photo once a task. A task gives the two
+    best words of a selection that it has whole; a large one is dealt in parts, whose counts are added up.
+    """
+    parts = F.greatest(F.ceil(F.col("n") / PHOTOS_A_TASK), F.ceil(F.col("w") / WORDS_A_TASK))
+    large = size.select("album_id", parts.alias("parts")).where("parts > 1")  # as few as the tasks
+    tasks = -(-(size.agg(F.sum("w")).first()[0] or 0) // WORDS_A_TASK) or 1
+    spread = own.join(F.broadcast(large), "album_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    spread = spread.withColumn("g", F.pmod(F.xxhash64("album_id", F.pmod(F.xxhash64("o"), F.col("parts"))), F.lit(tasks)).cast("int"))
+    dealt = materialise(spread.select("g", "album_id", (F.col("parts") == 1).alias("whole"), "o"), "album-words-dealt")
+    words = dealt.select("g", "o").distinct().join(held, "o").select(F.col("g").alias("task"), F.col("o").alias("photo"), "words")
+    count = dealt.groupBy("g").cogroup(words.groupBy("task")).applyInArrow(count_words, f"album_id {dict(own.dtypes)['album_id']}, k long, photos long, first long, big long, late long")
+    count = count.groupBy("album_id", "k").agg(F.sum("photos").alias("photos"), F.min("first").alias("first"), F.min("big").alias("big"), F.max("late").alias("late"))
+    count = count.join(size.select("album_id", "n"), "album_id").where(F.col("photos") >= F.when(F.col("n") > 1, 2).otherwise(1))
+    place = F.row_number().over(Window.partitionBy("album_id").orderBy(F.desc("photos"), "first"))
+    return count.withColumn("place", place).where("place <= 2").select("album_id", "place", F.coalesce("big", "late").alias("o"))
+
+
+def count_words(rows: pa.Table, words: pa.Table) -> pa.Table:
+    """album_id, word k, photos, and of its places the first, the first in capitals (null: none) and the last; the two best rows of a whole album, all of others.
+
+    rows: album_id, whole, o (a photo). words: photo, words of each in the order of their places o, o + 1, ...; a word is 2 k, or 2 k + 1 if in capitals.
+    """
+    kind = rows.schema.field("album_id").type
+    coded = rows.column("album_id").combine_chunks().dictionary_encode()
+    lists = words.column("words").combine_chunks()
+    value, offset = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).cumsum()
+    length = np.diff(offset, prepend=0)
+    start, place = offset - length, words.column("photo").to_numpy()
+    key, word = np.unique(value >> 1, return_inverse=True)
+    by_place = np.argsort(place)
+    album, o = coded.indices.to_numpy(), rows.column("o").to_numpy()
+    order = np.lexsort((o, album))
+    album, o, whole = album[order], o[order], rows.column("whole").to_numpy(zero_copy_only=False)[order]
+    photo = by_place[np.searchsorted(place, o, sorter=by_place)]
+    n = length[photo]
+    opens = np.flatnonzero(np.diff(album, prepend=-1))  # first row of each album
+    till, found, at = np.append(n.cumsum()[opens] - n[opens], n.sum()), [], 0
+    while at < len(opens):
+        to = max(at + 1, min(int(np.searchsorted(till, till[at] + STEP, "right")) - 1, at + (1 << 15)))
+        lo, hi = opens[at], opens[to] if to < len(opens) else len(o)
+        m = n[lo:hi]
+        inside = np.arange(m.sum()) - np.repeat(m.cumsum() - m, m)
+        source, where = np.repeat(start[photo[lo:hi]], m) + inside, np.repeat(o[lo:hi], m) + inside
+        # rows are in the order of photo and place, so the number of a row tells which of two was first
+        bits = int(len(source)).bit_length()
+        packed = np.sort((np.repeat(album[lo:hi].astype(np.int64) - album[lo], m) * len(key) + word[source]) << bits | np.arange(len(source)))
+        row, pair = packed & ((1 << bits) - 1), packed >> bits
+        cut = np.flatnonzero(np.diff(pair, prepend=-1))
+        photos, first = np.diff(np.append(cut, len(pair))), row[cut]
+        of, none = pair[cut] // len(key), np.iinfo(np.int64).max
+        big = np.minimum.reduceat(np.where(value[source[row]] & 1, where[row], none), cut)
+        kept = ~whole[lo:hi][opens[at:to] - lo][of]
+        score, each = photos << bits | (len(source) - first), np.flatnonzero(np.diff(of, prepend=-1))
+        for _ in range(2):
+            best = score == np.repeat(np.maximum.reduceat(score, each), np.diff(np.append(each, len(of))))
+            kept |= best & (score >= 0)
+            score = np.where(best, -1, score)
+        late = where[row[np.append(cut[1:], len(pair)) - 1]]
+        found.append([x[kept] for x in (of + album[lo], key[pair[cut] % len(key)], photos, where[first], big, late)])
+        at = to
+    made = [np.concatenate(x) for x in zip(*found, strict=True)]
+    names = [coded.dictionary.take(pa.array(made[0])), *map(pa.array, made[1:4]), pa.array(made[4], mask=made[4] == np.iinfo(np.int64).max), pa.array(made[5])]
+    return pa.Table.from_arrays(names, schema=pa.schema([("album_id", kind), *((c, pa.int64()) for c in ("k", "photos", "first", "big", "late"))]))

@@ -105,6 +105,41 @@ def test_words_of_a_photo_are_found_once(spark, monkeypatch):
     assert ("a0", "Harbour", "Light", "May 2025") in want
 
 
+def test_words_of_selections_are_counted_where_they_are_dealt(spark, monkeypatch):
+    """Against plain counting; no row for each word of each photo of a selection, and the same in parts, in many tasks and in small steps."""
+    import random
+
+    import pyarrow as pa
+
+    rng, stock = random.Random(5), [w + v for w in ("harbour", "Light", "TOWER", "ferry") for v in ("", "a", "ab", "abc")]
+    texts = {f"{k:02}": [rng.choice([str.lower, str.upper, str.title])(rng.choice(stock)) for _ in range(rng.randrange(8))] for k in range(30)}
+    chosen = {f"a{a:02}": rng.sample(sorted(texts), rng.choice([1, 2, 3, 5, 30])) for a in range(60)}
+    want = {}
+    for album, held in chosen.items():
+        seen = {}
+        for p in sorted(held):
+            for w in {w.lower(): w for w in reversed(texts[p])}:
+                seen.setdefault(w, []).append((p, min(k for k, x in enumerate(texts[p]) if x.lower() == w)))
+        best = sorted((-len(at), at[0], w) for w, at in seen.items() if len(at) >= min(2, len(held)))[:2]
+        said = lambda at: [texts[p][k] for p, k in at]
+        shown = [next((x for x in said(seen[w]) if x[0].isupper()), said(seen[w])[-1]) for *_, w in best]
+        want[album] = [x.title() if x.isupper() else x for x in shown]
+    photos = spark.createDataFrame([(p, " ".join(t), None) for p, t in texts.items()], "id string, ocr_text string, taken_at string")
+    rows, auto = spark.createDataFrame([(a, p) for a, held in chosen.items() for p in held], "album_id string, photo_id string"), spark.createDataFrame([], "album string, id string")
+    made = A.suggest_album_names(rows, photos, auto)
+    assert "explode(words" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {r["album_id"]: r["names"] for r in made.collect()} == want
+    monkeypatch.setattr(A, "WORDS_A_TASK", 20)
+    monkeypatch.setattr(A, "PHOTOS_A_TASK", 4)
+    assert {r["album_id"]: r["names"] for r in A.suggest_album_names(rows, photos, auto).collect()} == want
+    held = pa.table({"photo": [5, 0, 3], "words": pa.array([[2, 7, 8], [6, 3, 9], [8, 2]], pa.list_(pa.int64()))})
+    dealt = pa.table({"album_id": ["x", "y", "x", "x", "y"], "whole": [True, False, True, True, False], "o": [5, 3, 0, 3, 0]})
+    got = A.count_words(dealt, held).to_pylist()
+    monkeypatch.setattr(A, "STEP", 1)
+    assert A.count_words(dealt, held).to_pylist() == got
+    assert [tuple(r.values()) for r in got if r["album_id"] == "x"] == [("x", 1, 3, 1, 1, 5), ("x", 4, 3, 2, 2, 7)] and [r["k"] for r in got if r["album_id"] == "y"] == [1, 3, 4]
+
+
 def test_meme_groups(spark):
     df = spark.createDataFrame([("a", "00000000000000ff"), ("b", "00000000000000fe"), ("c", "ffffffff00000000"), ("d", None)], "id string, core_hash string")
     assert {r["id"] for r in meme_groups(df, df.select("id")).collect()} == {"a", "b"}
